@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import exact_dedup, mixing, near_dedup, packing, quality, secret_scan
+from quillet.llm import exact_dedup, langid, mixing, near_dedup, packing, paragraphs, quality, secret_scan, token_counts, topk
 from quillet.llm.common import new_path, table
 
 
+#: Fixed value: the end-of-text id of word_bpe_49k.json.
+END_OF_TEXT = 49407
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -22,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.clusters(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.QualityModel.train(docs).score(docs)
@@ -32,6 +40,23 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.LanguageModel.train(docs.where(~out).select("doc_id", "text", "lang"))
+    return model.score(docs).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, order = token_counts.flat_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_OF_TEXT)
+    counted = token_counts.count_tokens(blocks, END_OF_TEXT)
+    return counted.join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "tokens")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.components(table(spark, sf_dir, "documents"), words=2)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -47,8 +72,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_mixing": op2_mixing,
+        "op3_paragraphs": op3_paragraphs,
         "op4_quality": op4_quality,
         "op5_secret_scan": op5_secret_scan,
+        "op6_language": op6_language,
+        "op7_topk": op7_topk,
+        "op8_token_counts": op8_token_counts,
         "op9_near_dedup": op9_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
@@ -56,6 +85,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_topk": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS v FROM embeddings
+                WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(embedding) > 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+            )
+            SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+            WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
+        """,
         "op10_exact_dedup": r"""
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
             FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
