@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _accent_map() -> tuple[str, str]:
@@ -174,7 +175,7 @@ def to_millis(t: Column) -> Column:
     return F.when((t > 0) & (t < 10**12), t * 1000).otherwise(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_mojibake(values):
     """Text that was decoded once too often as Latin-1, decoded again where that lowers the number of its telltale marks."""
     marks = ("Ã", "Â", "â€")
@@ -194,7 +195,7 @@ def repair_mojibake(values):
     return values.map(one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_objects(values):
     """Top-level {...} objects of a text, strings and escapes respected."""
 

@@ -25,20 +25,25 @@ VERBS = ("es", "fue", "nació en", "vivió en", "fundó", "escribió", "pertenec
 TRIPLE = rf"(?i)^\s*(.+?)\s+({'|'.join(VERBS)})\s+(.+?)\s*$"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """(value, start, end) of each match, offsets in characters, from the lengths of gaps and matches."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    start = lambda i: length(gaps, i + 1) + length(hits, i)
-    return F.transform(hits, lambda h, i: F.struct(h.alias("value"), start(i).alias("start"), (start(i) + F.length(h)).alias("end")))
+def matches(text: Column, pattern: str, entity_type: str) -> Column:
+    """(entity_type, value, start, end) of each match, offsets in characters, from the lengths of gaps and matches."""
+    zero = F.lit(0)
+    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), zero, lambda s, x: s + F.length(x))
+
+    def spans(of: Column) -> Column:
+        def span(h: Column, i: Column) -> Column:
+            start = total(of["gaps"], i + 1) + total(of["hits"], i)
+            return F.struct(F.lit(entity_type).alias("entity_type"), sanitize_value(h).alias("value"), start.alias("start"), (start + F.length(h)).alias("end"))
+
+        return F.transform(of["hits"], span)
+
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return F.element_at(F.transform(F.array(found), spans), 1)
 
 
 def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, entity_type, value, start, end) by all rules."""
-    found = F.flatten(F.array(*[
-        F.transform(matches(F.col(text), p), lambda m, t=name.split("_")[0]: F.struct(F.lit(t).alias("entity_type"), sanitize_value(m["value"]).alias("value"), m["start"].alias("start"), m["end"].alias("end")))
-        for name, p in RULES.items()
-    ]))
+    found = F.concat(*[matches(F.col(text), p, name.split("_")[0]) for name, p in RULES.items()])
     return docs.select(key, F.explode(found).alias("e")).select(key, "e.*").where("value <> ''")
 
 
@@ -106,10 +111,10 @@ def merge_sources(entities: DataFrame, key: str) -> DataFrame:
     return entities.groupBy(key).applyInPandas(lambda pdf: _folded(pdf, related, _preferred), entities.schema)
 
 
-def bio_spans(pieces: DataFrame, key: str, order: str) -> DataFrame:
+def bio_spans(pieces: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Entities of B-/I- tagged pieces: (key, entity_type, start, end, confidence, n); other tags are dropped before."""
     tagged = pieces.where(F.col("label").rlike("^[BI]-")).withColumn("entity_type", F.substring("label", 3, 20))
-    by = W.partitionBy(key).orderBy(order)
+    by = W.partitionBy(key).orderBy(*order)
     opens = F.col("label").startswith("B-") | (F.lag("entity_type").over(by) != F.col("entity_type")) | F.lag("entity_type").over(by).isNull()
     grouped = tagged.withColumn("opens", opens.cast("int")).withColumn("g", F.sum("opens").over(by))
     return grouped.groupBy(key, "g").agg(F.first("entity_type").alias("entity_type"), F.min("start").alias("start"), F.max("end").alias("end"), F.round(F.avg("score"), 6).alias("confidence"), F.count(F.lit(1)).alias("n")).drop("g")

@@ -7,7 +7,9 @@ index for those who want it stored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import partial
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.functions.text import tokens
@@ -15,6 +17,10 @@ from quillet.functions.text import tokens
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
+def _same(term: str, w: Column) -> Column:
+    return w == term
+
+
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(token, key, tf, positions)."""
     spots = docs.select(key, F.posexplode(tokens(F.col(text))).alias("position", "token"))
@@ -27,7 +33,7 @@ def search(docs: DataFrame, terms: list[str], limit: int = 20, key: str = "doc_i
     if not terms:
         return docs.select(key, *carry, F.lit(0.0).alias("rank"), F.lit("empty").alias("strategy")).limit(0)
     words = docs.select(key, *carry, tokens(F.col(text)).alias("__w"))
-    tf = [F.size(F.filter("__w", lambda w, t=t: w == t)) for t in terms]
+    tf = [F.size(F.filter("__w", partial(_same, t))) for t in terms]
     counted = words.select(key, *carry, F.size("__w").alias("__len"), F.array(*tf).alias("__tf"))
     each = range(len(terms))
     full = F.forall("__tf", lambda n: n > 0)

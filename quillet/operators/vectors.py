@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,7 +25,7 @@ def similar(vectors: DataFrame, target: int, k: int = 5) -> DataFrame:
     return rows.select("vec_id", "label", "similarity").orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_blob(values):
     """Little-endian 32-bit floats of a blob; null where its length is no multiple of four."""
     import numpy as np
@@ -32,7 +33,7 @@ def decode_blob(values):
     return values.map(lambda v: None if v is None or len(v) % 4 else np.frombuffer(v, "<f4").tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_blob(values):
     import numpy as np
 
