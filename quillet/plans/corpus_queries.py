@@ -191,7 +191,7 @@ def orphan_audit(spark, sf):
 @query("""
     SELECT target_type, count(*) AS n, min(ms) AS first_ms, max(ms) AS last_ms FROM (
         SELECT CASE WHEN i.doc_id IS NOT NULL THEN 'item' WHEN s.s_suppkey IS NOT NULL THEN 'asset' ELSE 'unknown' END AS target_type, CASE WHEN t > 0 AND t < 1000000000000 THEN t * 1000 ELSE t END AS ms
-        FROM (SELECT user_id * 7 AS u, CASE WHEN event_id % 5 = 0 THEN epoch_ms(ts) // 1000 ELSE epoch_ms(ts) END AS t FROM events) e
+        FROM (SELECT user_id * 7 AS u, CASE WHEN event_id % 5 = 0 THEN epoch_us(ts) // 1000000 ELSE epoch_us(ts) // 1000 END AS t FROM events) e
         LEFT JOIN (SELECT DISTINCT doc_id FROM documents) i ON i.doc_id = u LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier) s ON s.s_suppkey = u) GROUP BY target_type
 """)
 def llm_target_inference(spark, sf):
