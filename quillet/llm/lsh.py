@@ -5,11 +5,16 @@ into as many bins as the signature has places and the least hash of each bin is
 An empty bin copies the bin that a universal hash of (bin, attempt) names, at the first attempt that finds one
 filled; equal sets agree everywhere and each place still agrees with the probability of the Jaccard similarity.
 
-``link`` finds all pairs of units with the similarity asked for that share a bucket. In each bucket every
-member is compared with one centre (the least id), so candidates are linear in the members; links are
-verified on full sets and contracted to components. Where a bucket still holds several components, the next member becomes
-the centre, and so on; once what is left is no more than a few comparisons a member it is compared outright. So a bucket of
-thousands of near copies is settled by its first star, and no pair of a bucket is skipped unless both are already connected.
+``link`` joins all pairs of units with the similarity asked for that share a bucket, in three steps of which each leaves the
+next one less:
+
+1. every member of a bucket is compared with one centre, the least id, so candidates are linear in the members; verified links
+   are contracted to components, and a bucket of thousands of near copies mostly becomes one;
+2. where a bucket still holds several, members outside its largest component are compared with all of that one;
+3. members still outside are compared with each other.
+
+Steps 2 and 3 ship bounded chunks of sets against chunks, and compare them in array operations; no pair becomes a row
+but a link. No pair of a bucket is left out unless both are connected already.
 """
 
 from __future__ import annotations
@@ -17,10 +22,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quillet.llm.common import staged
 from quillet.llm.components import connected_components
@@ -106,43 +111,81 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y") - both).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
 
-def link(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Components and verified links.
+CHUNK = 64
+
+
+def _crossed(percent: int):
+    """Rows of two lists of (unit, component, items) to links between units of different components; one a unit of the left is enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 4):
+            out: list[tuple[int, int]] = []
+            for left, right in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
+                sets = [np.array(r["items"], np.int64).view(np.uint64) for r in right]
+                size, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
+                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+                units, parts = np.array([r["unit"] for r in right]), np.array([r["component"] for r in right])
+                for r in left:
+                    own = np.array(r["items"], np.int64).view(np.uint64)
+                    able = (parts != r["component"]) & (units != r["unit"]) & (np.minimum(size, len(own)) * 100 >= np.maximum(size, len(own)) * percent)
+                    if able.any():
+                        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                        both = np.add.reduceat(own[at] == flat, starts, dtype=np.int64)
+                        hit = np.flatnonzero(able & (both * 100 >= (size + len(own) - both) * percent))
+                        out += [(r["unit"], int(u)) for u in units[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _chunks(rows: DataFrame, key: str, each: int, name: str) -> DataFrame:
+    """rows (key, unit, component, items) to (key, chunk, name): lists of about ``each``."""
+    many = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / each).alias("many"))
+    dealt = rows.join(many, key).withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("many")))
+    return dealt.groupBy(key, "chunk").agg(F.collect_list(F.struct("unit", "component", "items")).alias(name))
+
+
+def link(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
+    """Components of the links between units.
 
     units: (unit long, n, keys array<long>), one row a distinct set. sets_of: from a table of units to (unit, items array<long>).
-    Returns (unit, component) of units in a component of two or more, and (a, b).
+    Returns (unit, component) of the units in a component of two or more.
     """
     dealt = units.select("unit", "n", F.explode("keys").alias("key"))
-    shared = staged(dealt.groupBy("key").agg(F.min("unit").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "centre"), "buckets")
+    shared = dealt.groupBy("key").agg(F.min("unit").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = staged(shared.select("key", "centre"), "buckets")
     members = staged(dealt.join(shared, "key"), "members")
-    lean = units.select("unit", "n")
     sets = staged(sets_of(members.select("unit").distinct()), "sets")
 
-    def fits(pairs: DataFrame) -> DataFrame:
-        """Distinct (a, b), a < b, whose sizes alone don't rule them out."""
-        low, high = F.least("na", "nb"), F.greatest("na", "nb")
-        return pairs.where(low * 100 >= high * percent).select("a", "b").distinct()
-
     first = members.where("centre < unit").select(F.col("centre").alias("a"), F.col("unit").alias("b"), F.col("n").alias("nb")).distinct()
-    first = fits(first.join(lean.select(F.col("unit").alias("a"), F.col("n").alias("na")), "a"))
+    first = first.join(units.select(F.col("unit").alias("a"), F.col("n").alias("na")), "a")
+    first = first.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
     links = staged(_verified(first, sets, percent), "links")
-    turn = 1
-    while True:
-        parts = staged(connected_components(links), "components")
-        here = members.select("key", "unit", "n").join(parts.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-        several = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where(F.col("lo") != F.col("hi")).where(F.col("size") > turn + 1).select("key")
-        rank = F.row_number().over(W.partitionBy("key").orderBy("unit"))
-        open_ = staged(here.join(several, "key").withColumn("rank", rank), "open").where(F.col("rank") > turn)
-        rows, left = open_.groupBy("key").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
-        if not rows:
-            return parts.select(F.col("node").alias("unit"), "component"), links
-        x = open_.select("key", F.col("unit").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        y = open_.select("key", F.col("unit").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
-        last = left <= 4 * rows
-        x = x if last else x.where(F.col("ra") == turn + 1)
-        pairs = fits(x.join(y, "key").where("ra < rb and ca <> cb"))
-        links = staged(links.union(_verified(pairs, sets, percent)), "links")
-        if last:
-            parts = staged(connected_components(links), "components")
-            return parts.select(F.col("node").alias("unit"), "component"), links
-        turn += 1
+
+    def placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+        parts = connected_components(links).withColumnRenamed("node", "unit")
+        return rows.join(parts, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+
+    here = staged(placed(members.select("key", "unit"), links), "placed")
+    held = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many"))
+    largest = held.groupBy("key").agg(F.max(F.struct("many", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    out = here.join(largest.select("key", F.col("top.component").alias("hub")), "key").where("component <> hub")
+    out = staged(out, "outside")
+    if not out.limit(1).count():
+        return connected_components(links).select(F.col("node").alias("unit"), "component")
+    named = here.select("unit", "component").distinct().join(sets, "unit")
+    asks = out.select("unit", "component", "hub").distinct().join(sets, "unit")
+    hubs = named.join(out.select(F.col("hub").alias("component")).distinct(), "component", "left_semi").withColumn("hub", F.col("component"))
+    met = _chunks(asks, "hub", CHUNK // 4, "x").drop("chunk").join(_chunks(hubs, "hub", CHUNK, "y").drop("chunk"), "hub")
+    links = staged(links.union(met.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct()), "links")
+
+    again = staged(placed(out.select("key", "unit", F.col("hub")), links), "placed")
+    hub_now = connected_components(links).select(F.col("node").alias("hub"), F.col("component").alias("hub_now"))
+    again = again.join(hub_now, "hub", "left").where(F.col("component") != F.coalesce("hub_now", "hub")).select("key", "unit", "component")
+    open_ = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rest = _chunks(again.join(open_, "key").join(sets, "unit"), "key", CHUNK // 2, "x")
+    rest = staged(rest, "outside-chunks")
+    right = rest.select("key", F.col("chunk").alias("other"), F.col("x").alias("y"))
+    pairs = rest.join(right, "key").where("chunk <= other").select("x", "y")
+    links = staged(links.union(pairs.mapInArrow(_crossed(percent), "a long, b long").distinct()), "links")
+    return connected_components(links).select(F.col("node").alias("unit"), "component")
