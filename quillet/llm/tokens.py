@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
+from array import array
 
 import numpy as np
 
-_BLANKS = str.maketrans("\t\n\v\f\r", "     ")
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Letters whose lower case and composed form don't depend on what stands around them.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_MARKS = ".,;:!?"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -27,7 +28,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """``encode(text)``: the ids of a text as little-endian bytes of ``dtype``."""
 
-    def __init__(self, path: str, special: bool = True, most: int = 120_000):
+    def __init__(self, path: str, special: bool = True, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,22 +45,30 @@ class Encoder:
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.most, self.young, self.old = most, {"": b""}, {}
 
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.marks = {m: self._model(m) for m in _MARKS} if self.direct else {}
+
     def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _pretoken(self, core: str) -> list[int]:
-        shown = core.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenizer.model.tokenize(shown)]
+    def _model(self, token: str) -> bytes:
+        shown = token if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        """The ids of a word that the young generation of the cache lacks."""
         found = self.old.get(word)
         if found is None:
-            m = self.direct and _SIMPLE.fullmatch(word)
-            if m and unicodedata.is_normalized("NFC", word):
-                ids = self._pretoken(m[1].lower()) + (self._pretoken(m[2]) if m[2] else [])
-                found = np.asarray(ids, self.dtype).tobytes()
-            else:
+            mark = self.marks.get(word[-1])
+            core = word if mark is None else word[:-1]
+            if not self.direct or not core.isalpha() or not (core.isascii() or _PLAIN(core)):
                 found = self._ids(word)
+            else:
+                core = core.lower()
+                found = self.young.get(core) or self.old.get(core) or self._model(core)
+                if mark is not None:
+                    self.young[core] = found
+                    found += mark
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {"": b""}
         if len(word) <= 64:
@@ -69,9 +78,12 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.by_word or ("<" in text and any(s in text for s in self.special)):
             return self._ids(text)
+        for blank in "\n\t\r\v\f":
+            if blank in text:
+                text = text.replace(blank, " ")
         get, word = self.young.get, self._word
         out = []
-        for w in text.translate(_BLANKS).split(" "):
+        for w in text.split(" "):
             b = get(w)
             if b is None:
                 b = word(w)
