@@ -25,15 +25,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.union(least.select("a", F.col("m").alias("b")))
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge and no smaller end is a larger one elsewhere: a fixed point of both steps."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not sums.where("up > 1 or (up > 0 and down > 0)").limit(1).count()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node reachable."""
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = staged(now, "edges")
-    state = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == state:
-            break
-        state = mark
+    while not _stars_only(now):
         now = staged(_small_star(_large_star(now)).distinct(), "star")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+
+
+def extended(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after further links (a, b): only edges between components are followed, each once."""
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    placed = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = placed.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    moves = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    known = parts.join(moves, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    fresh = moves.join(parts.select(F.col("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("now").alias("component"))
+    return staged(known.union(fresh), "parts")

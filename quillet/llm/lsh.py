@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.common import staged
-from quillet.llm.components import connected_components
+from quillet.llm.components import connected_components, extended
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S = [np.uint64(x) for x in (30, 27, 31)]
@@ -160,32 +160,31 @@ def link(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     first = members.where("centre < unit").select(F.col("centre").alias("a"), F.col("unit").alias("b"), F.col("n").alias("nb")).distinct()
     first = first.join(units.select(F.col("unit").alias("a"), F.col("n").alias("na")), "a")
     first = first.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    links = staged(_verified(first, sets, percent), "links")
+    parts = connected_components(_verified(first, sets, percent))
 
-    def placed(rows: DataFrame, links: DataFrame) -> DataFrame:
-        parts = connected_components(links).withColumnRenamed("node", "unit")
-        return rows.join(parts, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(parts.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
 
-    here = staged(placed(members.select("key", "unit"), links), "placed")
+    here = staged(placed(members.select("key", "unit")), "placed")
     held = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many"))
     largest = held.groupBy("key").agg(F.max(F.struct("many", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     out = here.join(largest.select("key", F.col("top.component").alias("hub")), "key").where("component <> hub")
     out = staged(out, "outside")
     if not out.limit(1).count():
-        return connected_components(links).select(F.col("node").alias("unit"), "component")
+        return parts.withColumnRenamed("node", "unit")
     named = here.select("unit", "component").distinct().join(sets, "unit")
     asks = out.select("unit", "component", "hub").distinct().join(sets, "unit")
     hubs = named.join(out.select(F.col("hub").alias("component")).distinct(), "component", "left_semi").withColumn("hub", F.col("component"))
     met = _chunks(asks, "hub", CHUNK // 4, "x").drop("chunk").join(_chunks(hubs, "hub", CHUNK, "y").drop("chunk"), "hub")
-    links = staged(links.union(met.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct()), "links")
+    parts = extended(parts, staged(met.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct(), "links"))
 
-    again = staged(placed(out.select("key", "unit", F.col("hub")), links), "placed")
-    hub_now = connected_components(links).select(F.col("node").alias("hub"), F.col("component").alias("hub_now"))
+    again = staged(placed(out.select("key", "unit", F.col("hub"))), "placed")
+    hub_now = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_now"))
     again = again.join(hub_now, "hub", "left").where(F.col("component") != F.coalesce("hub_now", "hub")).select("key", "unit", "component")
     open_ = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rest = _chunks(again.join(open_, "key").join(sets, "unit"), "key", CHUNK // 2, "x")
     rest = staged(rest, "outside-chunks")
     right = rest.select("key", F.col("chunk").alias("other"), F.col("x").alias("y"))
     pairs = rest.join(right, "key").where("chunk <= other").select("x", "y")
-    links = staged(links.union(pairs.mapInArrow(_crossed(percent), "a long, b long").distinct()), "links")
-    return connected_components(links).select(F.col("node").alias("unit"), "component")
+    parts = extended(parts, staged(pairs.mapInArrow(_crossed(percent), "a long, b long").distinct(), "links"))
+    return parts.withColumnRenamed("node", "unit")
