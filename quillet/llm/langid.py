@@ -31,6 +31,8 @@ from quillet.llm.lsh import slices
 
 #: Documents a language to fit on at most; words, and n-grams of each n, that each language keeps; longest n.
 FIT, WORDS, GRAMS, LONGEST = 4_000, 20_000, 8_000, 4
+#: Pieces whose scores a process keeps.
+CACHE = 60_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -69,7 +71,8 @@ class LanguageModel:
 
     def __init__(self, langs: list[str], known: list[dict[str, np.ndarray]]):
         self.langs, self.known = langs, known
-        self.cache: dict[str, tuple[int, np.ndarray]] = {}
+        self.cache: dict[str, int] = {}
+        self.table = np.empty((CACHE, len(langs) + 1))
 
     @classmethod
     def train(cls, docs: DataFrame, fit: int = FIT, words: int = WORDS, top: int = GRAMS) -> LanguageModel:
@@ -103,30 +106,45 @@ class LanguageModel:
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             some = [v for v in map(self.known[n].get, grams(word, n)) if v is not None]
             if some:
-                return np.mean(some, 0)
+                return np.add.reduce(some) / len(some)
         return np.zeros(len(self.langs))
 
-    def _piece(self, piece: str) -> tuple[int, np.ndarray]:
-        """Letters and summed scores of the words inside a blank-separated piece."""
-        found = self.cache.get(piece)
-        if found is None:
-            words = _LETTERS.findall(piece.lower())
-            found = (sum(map(len, words)), sum(map(self.word, words), np.zeros(len(self.langs))))
-            if len(self.cache) >= 60_000:
-                self.cache.clear()
-            if len(piece) <= 64:
-                self.cache[piece] = found
-        return found
+    def _piece(self, piece: str, out: np.ndarray) -> None:
+        """To ``out``: summed scores by language of the words inside a blank-separated piece, then the number of their letters."""
+        words = _LETTERS.findall(piece.lower())
+        if len(words) == 1:
+            out[:-1] = self.word(words[0])
+            out[-1] = len(words[0])
+            return
+        out[:] = 0
+        for w in words:
+            out[:-1] += self.word(w)
+            out[-1] += len(w)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return "und", 0.0
-        score, letters = np.zeros(len(self.langs)), 0
+        total, alone = np.zeros((2, len(self.langs) + 1))
+        rows, times = [], []
         for piece, c in Counter(text.split()).items():
-            n, s = self._piece(piece)
-            letters += n
-            score += c * s
-        if not letters:
+            at = self.cache.get(piece)
+            if at is None:
+                if len(piece) > 64:
+                    self._piece(piece, alone)
+                    total += c * alone
+                    continue
+                if len(self.cache) == CACHE:
+                    total += np.array(times, float) @ self.table[rows]
+                    rows, times = [], []
+                    self.cache.clear()
+                at = self.cache[piece] = len(self.cache)
+                self._piece(piece, self.table[at])
+            rows.append(at)
+            times.append(c)
+        if rows:
+            total += np.array(times, float) @ self.table[rows]
+        score = total[:-1]
+        if not total[-1]:
             return "und", 0.0
         best = int(score.argmax())
         return self.langs[best], float(1 / np.exp(score - score[best]).sum())
