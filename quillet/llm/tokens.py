@@ -10,12 +10,12 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
-#: Letters whose lower case and composed form don't depend on what stands around them.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-_MARKS = ".,;:!?"
+#: Letters whose lower case and composed form don't depend on what stands around them, then ASCII marks but the apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,10 +25,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Ids of words, made where missing; when full, its words become the older generation, from which those met again return."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__({"": b""})
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+                self[""] = b""
+            self[word] = found
+        return found
+
+
 class Encoder:
     """``encode(text)``: the ids of a text as little-endian bytes of ``dtype``."""
 
-    def __init__(self, path: str, special: bool = True, most: int = 250_000):
+    def __init__(self, path: str, special: bool = True, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,14 +59,12 @@ class Encoder:
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 2 and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True
-        # a letter run and one mark are two pre-tokens here, so such words go to the model directly
+        # a letter run and a run of marks are two pre-tokens here, so letters go to the model directly
         self.direct = self.by_word and splits[1].get("type") == "ByteLevel" and not spec["model"].get("dropout")
         self.special = [t["content"] for t in spec.get("added_tokens", [])] if special else []
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.most, self.young, self.old = most, {"": b""}, {}
-
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.marks = {m: self._model(m) for m in _MARKS} if self.direct else {}
+        self.words = _Words(self._word, most)
 
     def _ids(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -56,24 +74,14 @@ class Encoder:
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """The ids of a word that the young generation of the cache lacks."""
-        found = self.old.get(word)
-        if found is None:
-            mark = self.marks.get(word[-1])
-            core = word if mark is None else word[:-1]
-            if not self.direct or not core.isalpha() or not (core.isascii() or _PLAIN(core)):
-                found = self._ids(word)
-            else:
-                core = core.lower()
-                found = self.young.get(core) or self.old.get(core) or self._model(core)
-                if mark is not None:
-                    self.young[core] = found
-                    found += mark
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {"": b""}
-        if len(word) <= 64:
-            self.young[word] = found
-        return found
+        """The ids of a word that the cache lacks."""
+        parts = _PLAIN(word) if self.direct else None
+        if parts is None:
+            return self._ids(word)
+        core, marks = parts.groups()
+        low = core.lower()
+        found = self._model(low) if low == word else self.words[low]
+        return found + self.words[marks] if marks else found
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or ("<" in text and any(s in text for s in self.special)):
@@ -81,15 +89,7 @@ class Encoder:
         for blank in "\n\t\r\v\f":
             if blank in text:
                 text = text.replace(blank, " ")
-        get, word = self.young.get, self._word
-        out = []
-        for w in text.split(" "):
-            b = get(w)
-            if b is None:
-                b = word(w)
-                get = self.young.get
-            out.append(b)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
 
 
 _encoders: dict[tuple, Encoder] = {}
