@@ -70,6 +70,7 @@ class _Index:
 
     def __init__(self, tails: list[np.ndarray]):
         each = [np.unique(t, return_counts=True) for t in tails]
+        self.own = [t for t, _ in each]
         size = np.array([len(t) for t in tails], np.float32)
         sizes = [len(t) for t, _ in each]
         doc = np.repeat(np.arange(len(tails)), sizes)
@@ -86,9 +87,8 @@ class _Index:
         self.many = len(tails)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.terms, terms)
-        at = at[at < len(self.terms)]
-        at = at[np.isin(self.terms[at], terms, assume_unique=False)]
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        at = at[self.terms[at] == terms]
         start, size = self.start[at], self.end[at] - self.start[at]
         total = int(size.sum())
         if not total:
@@ -142,7 +142,7 @@ class _Packer:
                 if first == len(tails):
                     return
                 free[first] = False
-                self.seed = np.unique(tails[first][3])
+                self.seed = index.own[first]
                 if self.put(*tails[first]):
                     continue
             score = np.where(free, index.scores(self.seed), -1.0)
@@ -151,7 +151,7 @@ class _Packer:
                     return  # every tail of the shard is used; the window stays open
                 free[d] = False
                 if self.put(*tails[d]):
-                    self.seed = np.unique(tails[d][3]) if self.open else None
+                    self.seed = index.own[d] if self.open else None
                     break
             else:
                 return
