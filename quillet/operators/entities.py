@@ -131,3 +131,41 @@ def distinct_triples(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first of each triple without regard to case."""
     by = W.partitionBy(key, F.lower("subject"), F.lower("predicate"), F.lower("object")).orderBy(order)
     return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
+
+
+def dedup_document(entities: DataFrame, key: str, near: int = 8) -> DataFrame:
+    """A fold in order of (start, end) that compares each entity with all kept ones of its family, not with the last alone.
+
+    The first kept one that overlaps, has an equal or prefix value within ``near`` at both ends, or the same value anywhere absorbs it;
+    the fuller of the two stays, the earlier where both are alike.
+    """
+    family = lambda e: "organization" if e.entity_type == "institution" else e.entity_type
+    norm = lambda e: " ".join("".join(c if c.isalnum() else " " for c in e.value.lower()).split())
+
+    def fullness(e) -> int:
+        return sum(c.isalnum() for c in e.value) + e.end - e.start + (10 if e.confidence >= 0.9 else 0) + (5 if " " in e.value.strip() else 0)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list = []
+        for e in pdf.sort_values(["start", "end", "value", "source"], kind="stable").itertuples(index=False):
+            n = norm(e)
+            for k, (other, m) in enumerate(kept):
+                if family(other) != family(e):
+                    continue
+                close = abs(other.start - e.start) <= near and abs(other.end - e.end) <= near
+                if (e.start < other.end and other.start < e.end) or (n and n == m) or (close and (m.startswith(n) or n.startswith(m))):
+                    if fullness(e) > fullness(other):
+                        kept[k] = (e, n)
+                    break
+            else:
+                kept.append((e, n))
+        return pd.DataFrame([e for e, _ in kept], columns=pdf.columns)
+
+    return entities.groupBy(key).applyInPandas(one, entities.schema)
+
+
+def inside_windows(entities: DataFrame) -> DataFrame:
+    """Those of (start, end, window_start, window_end, first, last) that touch no window edge within the text."""
+    at_start = ~F.col("first") & (F.col("start") <= F.col("window_start"))
+    at_end = ~F.col("last") & (F.col("end") >= F.col("window_end"))
+    return entities.where(~at_start & ~at_end)

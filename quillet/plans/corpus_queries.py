@@ -12,6 +12,7 @@ from quillet.functions import geometry as g
 from quillet.functions import text as t
 from quillet.operators import entities as en
 from quillet.operators import layout as lay
+from quillet.operators import pages
 from quillet.operators import relational as rel
 from quillet.operators import search as fts
 from quillet.operators import vectors as vec
@@ -505,3 +506,79 @@ def sql_front_select(spark, sf):
 @query("SELECT p_partkey, CASE WHEN b < 1024 THEN printf('%d B', b) WHEN b < 1048576 THEN CASE WHEN b / 1024.0 < 10 THEN printf('%.1f KB', round(b / 1024.0::DOUBLE, 1)) ELSE printf('%.0f KB', round(b / 1024.0::DOUBLE)) END ELSE printf('%.1f MB', round(b / 1048576.0::DOUBLE, 1)) END AS size FROM (SELECT p_partkey, (p_size * p_size * p_partkey % 5000000) AS b FROM part)")
 def file_sizes(spark, sf):
     return read(spark, sf, "part").select("p_partkey", t.format_bytes(F.col("p_size") * F.col("p_size") * F.col("p_partkey") % 5000000).alias("size"))
+
+
+# Lines and detections of synthetic pages: a page an order, in the order of all columns used.
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_discount"]
+_LINE = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, ['con-', 'tado ', 'Acta.', 'folio- '][(l_partkey + l_suppkey) % 4 + 1] AS text,
+    l_partkey % 97 AS x, l_suppkey % 89 AS y, 20 + l_partkey % 50 AS width, 10 + l_suppkey % 40 AS height, l_discount AS confidence FROM lineitem)"""
+_DETECTION = """(SELECT l_orderkey, l_linenumber, l_partkey % 25 AS class, (l_suppkey % 10) / 10.0 AS score, (l_partkey % 97 * 7)::DOUBLE AS x1, (l_suppkey % 89 * 7)::DOUBLE AS y1,
+    (l_partkey % 97 * 7 + l_suppkey % 61 * 5 - 10)::DOUBLE AS x2, (l_suppkey % 89 * 7 + l_partkey % 53 * 3 - 6)::DOUBLE AS y2, 1700.0::DOUBLE AS page_width, 2200.0::DOUBLE AS page_height FROM lineitem)"""
+_DECODED = f"""(SELECT l_orderkey, [{", ".join(f"'{c}'" for c in pages.CLASSES)}] AS names, class, score, page_width, page_height, greatest(x1 * sx, 0) AS x1, greatest(y1 * sy, 0) AS y1, least(x2 * sx, page_width) AS x2, least(y2 * sy, page_height) AS y2
+    FROM (SELECT *, CASE WHEN far > 800 THEN 1.0::DOUBLE ELSE page_width / 800 END AS sx, CASE WHEN far > 800 THEN 1.0::DOUBLE ELSE page_height / 800 END AS sy
+        FROM (SELECT *, max(greatest(x2, y2)) OVER (PARTITION BY l_orderkey) AS far FROM {_DETECTION} WHERE score >= 0.5 AND x2 > x1 AND y2 > y1)))"""
+_REGION = f"""(SELECT l_orderkey, coalesce(names[class + 1], 'plain_text') AS category, score, round(x1)::INTEGER AS x, round(y1)::INTEGER AS y, greatest(round(x2 - x1), 1)::INTEGER AS width, greatest(round(y2 - y1), 1)::INTEGER AS height, page_width, page_height FROM {_DECODED})"""
+
+
+def _lines(spark, sf):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    text = F.element_at(F.array(*map(F.lit, ["con-", "tado ", "Acta.", "folio- "])), ((p + s) % 4 + 1).cast("int"))
+    return read(spark, sf, "lineitem").select("l_orderkey", *_LINE_ORDER, text.alias("text"), (p % 97).alias("x"), (s % 89).alias("y"), (20 + p % 50).alias("width"), (10 + s % 40).alias("height"), F.col("l_discount").alias("confidence"))
+
+
+def _regions(spark, sf):
+    p, s, d = F.col("l_partkey"), F.col("l_suppkey"), "double"
+    corner = {"x1": p % 97 * 7, "y1": s % 89 * 7, "x2": p % 97 * 7 + s % 61 * 5 - 10, "y2": s % 89 * 7 + p % 53 * 3 - 6}
+    found = read(spark, sf, "lineitem").select("l_orderkey", (p % 25).alias("class"), (s % 10 / 10.0).alias("score"), *(c.cast(d).alias(n) for n, c in corner.items()), F.lit(1700.0).alias("page_width"), F.lit(2200.0).alias("page_height"))
+    return pages.decode(found, ["l_orderkey"], 800.0)
+
+
+@query(f"""
+    WITH f AS (SELECT *, CASE WHEN coalesce(lag(rtrim(text) LIKE '%-') OVER w, FALSE) AND regexp_matches(ltrim(text), '^[a-z]') THEN 0 ELSE 1 END AS opens FROM {_LINE} WINDOW w AS (PARTITION BY l_orderkey ORDER BY {", ".join(_LINE_ORDER)})),
+    n AS (SELECT *, sum(opens) OVER w AS line FROM f WINDOW w AS (PARTITION BY l_orderkey ORDER BY {", ".join(_LINE_ORDER)} ROWS UNBOUNDED PRECEDING)),
+    k AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey, line) AS many FROM n WINDOW w AS (PARTITION BY l_orderkey, line ORDER BY {", ".join(_LINE_ORDER)}))
+    SELECT l_orderkey, CAST(line AS BIGINT) AS line, string_agg(CASE WHEN i < many THEN regexp_replace(CASE WHEN i > 1 THEN ltrim(text) ELSE text END, '- *$', '') WHEN i > 1 THEN ltrim(text) ELSE text END, '' ORDER BY i) AS text,
+        min(x) FILTER (i = 1) AS x, min(y) FILTER (i = 1) AS y, max(x + width) - min(x) FILTER (i = 1) AS width, max(y + height) - min(y) FILTER (i = 1) AS height, max(confidence) AS confidence, CAST(count(*) AS INTEGER) AS lines FROM k GROUP BY l_orderkey, line
+""")
+def ocr_merge_hyphens(spark, sf):
+    return pages.merge_hyphens(_lines(spark, sf), ["l_orderkey"], _LINE_ORDER)
+
+
+@query(f"""
+    SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(rtrim(text), '[.!?]$') AND regexp_matches(ltrim(lead(text) OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_LINE_ORDER)})), '^[A-Z]') THEN text || chr(10) ELSE text END AS text FROM {_LINE}
+""")
+def ocr_detect_paragraphs(spark, sf):
+    return pages.paragraph_breaks(_lines(spark, sf), ["l_orderkey"], _LINE_ORDER).select("l_orderkey", "l_linenumber", "text")
+
+
+@query(f"SELECT * FROM {_REGION}")
+def detections_decode(spark, sf):
+    return _regions(spark, sf)
+
+
+@query(f"SELECT l_orderkey, count(*) AS regions, count(*) < 2 OR max(width * height / (page_width * page_height)) > 0.6 AS bypass FROM {_REGION} GROUP BY l_orderkey")
+def layout_bypass(spark, sf):
+    return pages.bypassed(_regions(spark, sf), ["l_orderkey"])
+
+
+@query(f"""
+    SELECT *, x2 - crop_x AS crop_width, y2 - crop_y AS crop_height FROM (SELECT l_orderkey, category, greatest(x - 5, 0) AS crop_x, greatest(y - 5, 0) AS crop_y, least(x + width + 5, 1700) AS x2, least(y + height + 5, 2200) AS y2 FROM {_REGION}) WHERE x2 - crop_x >= 10 AND y2 - crop_y >= 10
+""".replace("SELECT *, x2", "SELECT l_orderkey, category, crop_x, crop_y, x2", 1))
+def region_crops(spark, sf):
+    return pages.crops(_regions(spark, sf)).select("l_orderkey", "category", "crop_x", "crop_y", "crop_width", "crop_height")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, start, "end" FROM (SELECT l_orderkey, l_linenumber, l_partkey % 300 AS start, l_partkey % 300 + 4 + l_suppkey % 9 AS "end", l_linenumber = 1 AS first, l_linenumber = 4 AS last FROM lineitem)
+    WHERE NOT (NOT first AND start <= 32) AND NOT (NOT last AND "end" >= 256)
+""")
+def ner_prune_window_edges(spark, sf):
+    start = F.col("l_partkey") % 300
+    e = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", start.alias("start"), (start + 4 + F.col("l_suppkey") % 9).alias("end"), F.lit(32).alias("window_start"), F.lit(256).alias("window_end"), (F.col("l_linenumber") == 1).alias("first"), (F.col("l_linenumber") == 4).alias("last"))
+    return en.inside_windows(e).select("l_orderkey", "l_linenumber", "start", "end")
+
+
+@query()
+def ner_dedup_document(spark, sf):
+    e = corpus.entities(spark, sf).select("item_id", "entity_type", "value", "start", "end", "confidence", "source")
+    return en.dedup_document(e, "item_id")

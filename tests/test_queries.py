@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import text as t
 from quillet.operators import entities as en
-from quillet.operators import layout, relational
+from quillet.operators import layout, pages, relational
 from quillet.plans.corpus_queries import ORACLES, QUERIES
 from quillet.sources import corpus
 
@@ -89,3 +89,17 @@ def test_stream_coalesces(spark, tmp_path):
     seen = []
     jobs.run_coalesced(stream, ["user_id"], lambda df: seen.extend(map(tuple, df.select("user_id", "event_id", "requests").collect())), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [(7, 2, 2), (8, 3, 1)]
+
+
+def test_dedup_looks_at_all_kept(spark):
+    e = [(1, "person", "Ana Paz", 0, 7, 0.8, "onnx"), (1, "place", "Lima", 20, 24, 0.9, "onnx"), (1, "person", "ana  paz", 90, 98, 0.8, "onnx"), (1, "institution", "Lima", 40, 44, 0.9, "onnx"), (1, "organization", "Lima", 60, 64, 0.5, "onnx")]
+    df = spark.createDataFrame(e, "item_id int, entity_type string, value string, start int, end int, confidence double, source string")
+    assert sorted((r["entity_type"], r["start"]) for r in en.dedup_document(df, "item_id").collect()) == [("institution", 40), ("person", 90), ("place", 20)]
+
+
+def test_hyphen_chain(spark):
+    lines = [(1, i, s, i, 10 * i, 5, 5, 0.1 * i) for i, s in enumerate(["con- ", " ti-", "nuo.", "Fin"])]
+    df = spark.createDataFrame(lines, "page int, n int, text string, x int, y int, width int, height int, confidence double")
+    got = [(r["text"], r["x"], r["width"], r["height"]) for r in pages.merge_hyphens(df, ["page"], ["n"]).orderBy("line").collect()]
+    assert got == [("continuo.", 0, 7, 25), ("Fin", 3, 5, 5)]
+    assert [r["text"] for r in pages.paragraph_breaks(df, ["page"], ["n"]).orderBy("n").collect()] == ["con- ", " ti-", "nuo.\n", "Fin"]
