@@ -114,25 +114,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 CHUNK = 64
 
 
+def _held(chunk: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A list of (unit, component, items) as arrays: units, components, where each set starts and ends, all items in a row."""
+    rows = chunk.values
+    items = rows.field("items")
+    return rows.field("unit").to_numpy(), rows.field("component").to_numpy(), items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
+
+
 def _crossed(percent: int):
     """Rows of two lists of (unit, component, items) to links between units of different components; one a unit of the left is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4):
             out: list[tuple[int, int]] = []
-            for left, right in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
-                sets = [np.array(r["items"], np.int64).view(np.uint64) for r in right]
-                size, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
-                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                units, parts = np.array([r["unit"] for r in right]), np.array([r["component"] for r in right])
-                for r in left:
-                    own = np.array(r["items"], np.int64).view(np.uint64)
-                    able = (parts != r["component"]) & (units != r["unit"]) & (np.minimum(size, len(own)) * 100 >= np.maximum(size, len(own)) * percent)
+            for left, right in zip(part.column("x"), part.column("y"), strict=True):
+                asks, asked, cuts, theirs = _held(left)
+                units, parts, ends, flat = _held(right)
+                size, starts, flat = np.diff(ends), ends[:-1] - ends[0], flat[ends[0] : ends[-1]]
+                for k, unit in enumerate(asks):
+                    own = theirs[cuts[k] : cuts[k + 1]]
+                    able = (parts != asked[k]) & (units != unit) & (np.minimum(size, len(own)) * 100 >= np.maximum(size, len(own)) * percent)
                     if able.any():
                         at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
                         both = np.add.reduceat(own[at] == flat, starts, dtype=np.int64)
                         hit = np.flatnonzero(able & (both * 100 >= (size + len(own) - both) * percent))
-                        out += [(r["unit"], int(u)) for u in units[hit]]
+                        out += [(int(unit), int(u)) for u in units[hit]]
             yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
 
     return run
