@@ -48,7 +48,7 @@ class _Words(dict):
 class Encoder:
     """``encode(text)``: the ids of a text as little-endian bytes of ``dtype``."""
 
-    def __init__(self, path: str, special: bool = True, most: int = 400_000):
+    def __init__(self, path: str, special: bool = True, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
