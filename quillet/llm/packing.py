@@ -40,11 +40,11 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _cut(path: str, end_id: int, window: int):
+def _cut(path: str, end_id: int, window: int, words: int):
     """Texts to (doc_id, tokens, crcs of whole windows, tail, two min-hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, most=words)
         for part in slices(batches):
             n, crcs, tails, one, two = [], [], [], [], []
             for text in part.column("text").to_pylist():
@@ -201,10 +201,10 @@ def _pack(window: int, shard: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, shard: int = SHARD, words: int = 400_000) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. words: a generation of the encoder's cache."""
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = staged(bare.mapInArrow(_cut(tokenizer, end_id, window), "doc_id long, n long, crcs array<long>, tail binary, one long, two long, width long"), "tails")
+    cut = staged(bare.mapInArrow(_cut(tokenizer, end_id, window, words), "doc_id long, n long, crcs array<long>, tail binary, one long, two long, width long"), "tails")
     parts = min(spread(cut.count(), EACH), 1 << 20)
     parts = max(parts, min(shuffle_partitions(docs.sparkSession), spread(cut.count(), 2048)))
     dealt = cut.repartitionByRange(parts, "one", "two", "doc_id").sortWithinPartitions("one", "two", "doc_id", F.crc32("tail"))

@@ -95,9 +95,9 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, special: bool = True) -> Encoder:
-    """One encoder a process for each file."""
-    key = (path, special)
+def encoder(path: str, special: bool = True, most: int = 200_000) -> Encoder:
+    """One encoder a process for each file; ``most`` words a generation of its cache, which changes speed and memory but no id."""
+    key = (path, special, most)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, special)
+        _encoders[key] = Encoder(path, special, most)
     return _encoders[key]
