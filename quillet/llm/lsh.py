@@ -11,7 +11,7 @@ next one less:
 1. every member of a bucket is compared with one centre, the least id, so candidates are linear in the members; verified links
    are contracted to components, and a bucket of thousands of near copies mostly becomes one;
 2. where a bucket still holds several, members outside its largest component are compared with all of that one;
-3. members still outside are compared with each other.
+3. members still outside are compared with each other and with those that step 2 joined to the largest.
 
 Steps 2 and 3 ship bounded chunks of sets against chunks, and compare them in array operations; no pair becomes a row
 but a link. No pair of a bucket is left out unless both are connected already.
@@ -184,13 +184,15 @@ def link(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     met = _chunks(asks, "hub", CHUNK // 4, "x").drop("chunk").join(_chunks(hubs, "hub", CHUNK, "y").drop("chunk"), "hub")
     parts = extended(parts, staged(met.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct(), "links"))
 
-    again = staged(placed(out.select("key", "unit", F.col("hub"))), "placed")
+    again = placed(out.select("key", "unit", F.col("hub")))
     hub_now = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_now"))
-    again = again.join(hub_now, "hub", "left").where(F.col("component") != F.coalesce("hub_now", "hub")).select("key", "unit", "component")
+    again = again.join(hub_now, "hub", "left").withColumn("joined", F.col("component") == F.coalesce("hub_now", "hub"))
+    again = staged(again.select("key", "unit", "component", "joined"), "placed")
     open_ = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = _chunks(again.join(open_, "key").join(sets, "unit"), "key", CHUNK // 2, "x")
-    rest = staged(rest, "outside-chunks")
+    again = staged(again.join(open_, "key").join(sets, "unit"), "outside-sets")
+    rest = staged(_chunks(again.where("not joined"), "key", CHUNK // 2, "x"), "outside-chunks")
     right = rest.select("key", F.col("chunk").alias("other"), F.col("x").alias("y"))
     pairs = rest.join(right, "key").where("chunk <= other").select("x", "y")
+    pairs = pairs.union(rest.select("key", "x").join(_chunks(again.where("joined"), "key", CHUNK, "y").drop("chunk"), "key").select("x", "y"))
     parts = extended(parts, staged(pairs.mapInArrow(_crossed(percent), "a long, b long").distinct(), "links"))
     return parts.withColumnRenamed("node", "unit")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillet.llm import exact_dedup, langid, mixing, near_dedup, packing, paragraphs, quality, queries, secret_scan, token_counts, topk
 from quillet.llm.common import new_path
+from quillet.llm.lsh import link
 
 TOK = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, unit long, size long, key string, component long"
@@ -129,6 +130,26 @@ def test_near_dedup(docs, data):
     assert near_dedup.keep_one(docs, words=2).columns == docs.columns
 
 
+def test_link_follows_chains_inside_a_bucket(spark):
+    first = list(range(100))
+    chains = []
+    for c in range(60):
+        chain = [[1000 * c + x for x in first]]
+        for k in range(5):  # each like the one before only: ten of a hundred items are new
+            chain.append(chain[-1][10:] + [1000 * c + 100 + 10 * k + x for x in range(10)])
+        chains += [(6 * c + k, 100, [c // 3], sorted(x)) for k, x in enumerate(chain)]
+    random.Random(8).shuffle(chains)
+    got = link(spark.createDataFrame([x[:3] for x in chains], "unit long, n long, keys array<long>"), lambda w: spark.createDataFrame([(x[0], x[3]) for x in chains], "unit long, items array<long>").join(w, "unit", "left_semi"))
+    want = {u: u for u, *_ in chains}
+    for _ in range(5):
+        for a, _, _, x in chains:
+            for b in range(a // 6 * 6, a // 6 * 6 + 6):
+                y = next(s for u, _, _, s in chains if u == b)
+                if 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert dict(map(tuple, got.collect())) == want
+
+
 def test_paragraphs(docs, data):
     got = paragraphs.clusters(docs).where("removed").select("doc_id").distinct().collect()
     long_ = {i for i, x, *_ in data if x and x.startswith("x\n")}
