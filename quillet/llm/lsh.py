@@ -54,13 +54,18 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text in UTF-8, A-Z lower-cased."""
+    words = text.lower().split()  # bytes: A-Z only, and exactly the six ASCII blanks
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of a text in UTF-8, A-Z lower-cased; a shorter text is one shingle."""
-    words = text.lower().split()  # bytes: A-Z only, and exactly the six ASCII blanks
-    if not words:
+    h = word_hashes(text)
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = min(n, len(words))
+    n = min(n, len(h))
     out = h[: len(h) - n + 1].copy()
     for k in range(1, n):
         out = mixed(out * _A + h[k : len(h) - n + 1 + k])

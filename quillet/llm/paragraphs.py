@@ -7,25 +7,40 @@ cluster the first paragraph, by doc_id and place, stays; the others are removed.
 
 Full sets are made again only for paragraphs that share a bucket, from the documents that hold them.
 
+A passage is a run of words, wherever it starts and across line ends, of which every ``PASSAGE`` words in a row stand elsewhere
+too (A-Z lower-cased, any blanks between). Runs of ``GRAM`` words are sampled by winnowing, so that each ``PASSAGE`` words hold a sampled
+one and equal words the same; every window of ``PASSAGE`` words around a sampled run met twice is then counted by its
+64-bit hash. Of the places of a window the first, by doc_id and place, stays. Windows in a row with the same
+first place in a row are one result, so its start and length are exact. This finds equal words only; altered copies are found as paragraphs.
+Of texts equal as a whole one is searched; the others are one result each, kept where the first of them stands.
+
 Defined results: null and empty texts have no paragraph; an empty table gives an empty result; copies inside a document are
-found too; rows that repeat doc_id and text have each paragraph once; positions are code points. Further columns are kept by
+found too; rows that repeat doc_id and text have each paragraph and passage once; positions are code points. A passage's paragraph is
+the number of the line it starts in, its cluster_size the most places that a window of it has; it may overlap others and whole paragraphs. Further columns are kept by
 ``cleaned`` and ignored elsewhere.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillet.llm.common import staged
-from quillet.llm.lsh import band_keys, link, shingle_set, slices
+from quillet.llm.lsh import band_keys, link, mixed, shingle_set, slices, word_hashes
 
 LEAST, BANDS, ROWS = 20, 16, 3
+PASSAGE, GRAM = 50, 26
+
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_POWER), -1, 1 << 64))
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def split(text: str | None, least: int = LEAST) -> list[tuple[int, int, str]]:
@@ -69,8 +84,106 @@ def _sets(words: int):
     return run
 
 
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each n words in a row."""
+    if len(h) < n:
+        return np.empty(0, np.uint64)
+    power = np.full(len(h), _POWER)
+    power[0] = 1
+    back = np.full(len(h), _BACK)
+    back[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(power), dtype=np.uint64)])
+    return mixed((sums[n:] - sums[:-n]) * np.cumprod(back)[: len(h) - n + 1])
+
+
+def _sliding(f, x: np.ndarray, n: int) -> np.ndarray:
+    """f (minimum or maximum) of each n in a row."""
+    k = 1
+    while 2 * k <= n:
+        x, k = f(x[:-k], x[k:]), 2 * k
+    return f(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
+
+
+def sampled(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the sampled runs of ``GRAM`` words: the least of those in some ``PASSAGE`` words in a row."""
+    if len(h) < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    wide, x = PASSAGE - GRAM + 1, runs(h, GRAM)
+    edge = np.zeros(wide - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, _sliding(np.minimum, x, wide), edge]), wide) == x)
+    return at, x[at]
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        docs, same, at, gram = [], [], [], []
+        for doc, text_hash, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
+            a, g = sampled(word_hashes(text.encode()))
+            docs.append(np.full(len(a), doc, np.int64))
+            same.append(np.full(len(a), text_hash, np.int64))
+            at.append(a)
+            gram.append(g.view(np.int64))
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (docs, same, at, gram)], names=["doc_id", "text_hash", "at", "gram"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, text, places of repeated sampled runs) to the windows that hold one of them."""
+    names = ["doc_id", "text_hash", "at", "window", "start", "end", "paragraph"]
+    for part in slices(batches, 16):
+        out = []
+        for doc, text_hash, text, held in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "held")), strict=True):
+            x = runs(word_hashes(text.encode()), PASSAGE)
+            at = (np.array(held)[:, None] - np.arange(PASSAGE - GRAM + 1)).ravel()
+            at = np.unique(at[(at >= 0) & (at < len(x))])
+            spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
+            lines = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+            start = spans[at, 0]
+            out.append((np.full(len(at), doc), np.full(len(at), text_hash), at, x[at].view(np.int64), start, spans[at + PASSAGE - 1, 1], np.searchsorted(lines, start)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+
+def passages(bare: DataFrame) -> DataFrame:
+    """bare (doc_id, text_hash, text) to the rows of ``clusters`` for passages."""
+    long_ = bare.where(F.length("text") >= 2 * PASSAGE - 1)
+    firsts = staged(long_.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("many")), "passage-texts")
+    grams = staged(long_.select("doc_id", "text_hash", "text").mapInArrow(_sampled, "doc_id long, text_hash long, at long, gram long"), "passage-grams")
+    again = long_.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
+    grams = grams.join(firsts, ["text_hash", "doc_id"], "left_semi")
+    grams = grams.distinct() if again else grams
+    repeated = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    held = grams.join(repeated, "gram").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("held"))
+    held = staged(held, "passage-held")
+    few = held.count() * 16 <= 8 << 20  # checked: at most 8 MB of ids are sent to every executor, so that other texts aren't shuffled
+    found = long_.join(F.broadcast(held.select("doc_id", "text_hash")), ["doc_id", "text_hash"], "left_semi") if few else long_
+    found = found.join(held, ["doc_id", "text_hash"])
+    found = found.dropDuplicates(["doc_id", "text_hash"]) if again else found
+    found = found.select("doc_id", "text_hash", "text", "held")
+    windows = found.mapInArrow(_windows, "doc_id long, text_hash long, at long, window long, start long, end long, paragraph long")
+    windows = staged(windows, "passage-windows")
+    least = F.min(F.struct("doc_id", "at", "text_hash", "paragraph")).alias("head")
+    heads = windows.groupBy("window").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = windows.join(heads, "window").withColumn("shift", F.col("at") - F.col("head.at"))
+    own = [F.col("doc_id"), F.col("text_hash"), F.col("head.doc_id"), F.col("head.text_hash"), F.col("shift")]
+    rows = rows.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*own).orderBy("at")))
+    line = F.min(F.struct("at", "paragraph", F.col("head.paragraph").alias("keep_paragraph"))).alias("line")
+    rows = rows.groupBy(*own[:2], own[2].alias("keep_doc_id"), own[3].alias("keep_hash"), "shift", "run").agg(line, F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("cluster_size"))
+    removed = ~((F.col("doc_id") == F.col("keep_doc_id")) & (F.col("text_hash") == F.col("keep_hash")) & (F.col("shift") == 0))
+    rows = rows.select("doc_id", F.col("line.paragraph").alias("paragraph"), "start", (F.col("end") - F.col("start")).alias("length"), "text_hash", "keep_doc_id", F.col("line.keep_paragraph").alias("keep_paragraph"), "cluster_size", removed.alias("removed"))
+    copies = long_.join(firsts.where("many > 1").select("text_hash", F.col("doc_id").alias("keep_doc_id"), "many"), "text_hash")
+    blank = r"^[\x20\x09-\x0D]+"
+    tail = F.regexp_replace("text", blank, "")
+    body = F.regexp_replace(tail, r"[\x20\x09-\x0D]+$", "")
+    start = F.length("text") - F.length(tail)
+    line = F.length(F.regexp_replace(F.substring(F.col("text"), F.lit(1), start), r"[^\n]", "")).cast("long")
+    copies = copies.where(F.size(F.split(body, r"[\x20\x09-\x0D]+")) >= PASSAGE)
+    copies = copies.select("doc_id", line.alias("paragraph"), start.cast("long").alias("start"), F.length(body).cast("long").alias("length"), "text_hash", "keep_doc_id", line.alias("keep_paragraph"), F.col("many").alias("cluster_size"), (F.col("doc_id") != F.col("keep_doc_id")).alias("removed"))
+    return rows.union(copies.distinct())
+
+
 def clusters(docs: DataFrame, words: int = 5, percent: int = 80, least: int = LEAST) -> DataFrame:
-    """One row a paragraph that another one repeats: doc_id, paragraph, start, length, keep_doc_id, keep_paragraph, cluster_size, removed."""
+    """One row a paragraph or passage that another one repeats: doc_id, paragraph, start, length, text_hash, keep_doc_id, keep_paragraph, cluster_size, removed, whole (a paragraph)."""
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where(F.col("text").isNotNull())
     signed = bare.mapInArrow(_signed(words, least), "doc_id long, text_hash long, paragraph long, start long, length long, n long, same binary, keys array<long>")
     signed = staged(signed, "paragraphs")
@@ -93,14 +206,31 @@ def clusters(docs: DataFrame, words: int = 5, percent: int = 80, least: int = LE
     heads = rows.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph", "text_hash")).alias("head"), F.count(F.lit(1)).alias("cluster_size")).where("cluster_size > 1")
     found = rows.join(staged(heads, "paragraph-heads"), "component")
     own = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("paragraph") == F.col("head.paragraph")) & (F.col("text_hash") == F.col("head.text_hash"))
-    return found.select("doc_id", "paragraph", "start", "length", "text_hash", F.col("head.doc_id").alias("keep_doc_id"), F.col("head.paragraph").alias("keep_paragraph"), "cluster_size", (~own).alias("removed"))
+    found = found.select("doc_id", "paragraph", "start", "length", "text_hash", F.col("head.doc_id").alias("keep_doc_id"), F.col("head.paragraph").alias("keep_paragraph"), "cluster_size", (~own).alias("removed"))
+    return found.withColumn("whole", F.lit(True)).union(passages(bare).withColumn("whole", F.lit(False)))
+
+
+@F.udf(T.StringType())
+def _without(text, gone):
+    """``text`` without spans (start, end, whole); a whole paragraph goes with its line end, the last ones with the one before."""
+    if not gone:
+        return text
+    last = len(text)
+    for a, b, whole in sorted(gone, reverse=True):
+        last = a - 1 if whole and b == last else last
+    spans = [(a, b + whole) for a, b, whole in gone] + [(max(last, 0), len(text))]
+    out, at = [], 0
+    for a, b in sorted(spans):
+        out.append(text[at : max(at, a)])
+        at = max(at, b)
+    return "".join(out)
 
 
 def cleaned(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without removed paragraphs; texts that lose none are untouched."""
-    gone = clusters(docs, **how).where("removed").groupBy("doc_id", "text_hash").agg(F.collect_set("paragraph").alias("__gone"))
+    """``docs`` without removed paragraphs and passages; texts that lose none are untouched."""
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"), "whole")
+    gone = clusters(docs, **how).where("removed").groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("__gone"))
     gone = staged(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone"), "paragraphs-gone")
     out = docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_without("text", "__gone"))
     return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -158,6 +158,25 @@ def test_paragraphs(docs, data):
     assert left["text"] == "x\ny"
 
 
+def test_passages(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdeilnorst") for _ in range(9))
+    many = lambda n: [word() for _ in range(n)]
+    planted = many(70)
+    texts = [many(90) + planted + many(60), many(5) + planted + many(130), many(40) + planted[:55] + many(40) + planted[20:] + many(9), many(30) + planted[:49] + many(30), many(200)]
+    glue = [" ", " ", "\n", "  ", " "]
+    rows_ = [(k, g.join(x)) for k, (x, g) in enumerate(zip(texts, glue, strict=True))]
+    rows_ += [(9, rows_[4][1]), (9, rows_[4][1])]
+    d = spark.createDataFrame(rows_, "doc_id long, text string")
+    text = dict(rows_)
+    got = sorted((x["doc_id"], text[x["doc_id"]][x["start"] : x["start"] + x["length"]].split(), x["keep_doc_id"], x["removed"]) for x in paragraphs.clusters(d).where("not whole").collect())
+    want = [(0, planted, 0, False), (1, planted, 0, True), (2, planted[:55], 0, True), (2, planted[20:], 0, True), (4, texts[4], 4, False), (9, texts[4], 4, True)]
+    assert got == sorted(want)
+    left = {x["doc_id"]: x["text"].split() for x in paragraphs.cleaned(d).collect()}
+    assert left[0] == texts[0] and left[1] == texts[1][:5] + texts[1][75:] and left[2] == texts[2][:40] + texts[2][95:135] + texts[2][185:]
+    assert left[3] == texts[3] and left[4] == texts[4] and left[9] == []
+
+
 def test_packing(docs, data):
     from tokenizers import Tokenizer
 
