@@ -12,7 +12,8 @@ group, meets the hot digest, and both of its inputs are plain exchanges that ada
 Defined results: null text counts as empty; texts are equal when identical after each run of white
 space is replaced by one space (leading and trailing runs too); of equal texts the row with the smallest
 doc_id stays; a text that an earlier batch admitted belongs to that batch's document. Rows that repeat a
-doc_id with an equal text are all reported, and ``keep_distinct`` returns one of them. Empty tables give
+doc_id with an equal text are all reported, and ``keep_distinct`` returns one of them. A row
+without doc_id is kept, as one row, where no equal text has a doc_id; its ``kept`` is null. Empty tables give
 empty results. Columns besides doc_id and text are never looked at, whatever their names.
 """
 
@@ -82,19 +83,20 @@ def keep_distinct(docs: DataFrame, index: DigestIndex | None = None) -> DataFram
     """The rows of ``docs`` that stay, with their own columns."""
     spark = docs.sparkSession
     index = index or DigestIndex(spark, new_path(spark, "digest-index"))
-    kept = staged(exact_dedup(docs, index).where("kept").groupBy("doc_id", "digest").count(), "kept-ids")
+    stays = F.coalesce("kept", F.col("keep_id").isNull())  # of equal texts that all lack a doc_id one stays too
+    kept = staged(exact_dedup(docs, index).where(stays).groupBy("doc_id", "digest").count(), "kept-ids")
     again = kept.where("count > 1").limit(1).count() > 0
     ids = kept.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    marked = docs.withColumn("__digest_here", F.unhex(F.sha2(normalised(F.col("text")), 256))) if _repeats(kept) else None
+    marked = docs.withColumn("__digest_here", F.unhex(F.sha2(normalised(F.col("text")), 256))) if _repeats(docs) else None
     if marked is None:
         out = docs.join(ids, docs["doc_id"] == ids["__id"], "left_semi")
     else:
-        out = marked.join(ids, (marked["doc_id"] == ids["__id"]) & (marked["__digest_here"] == ids["__digest"]), "left_semi")
+        out = marked.join(ids, marked["doc_id"].eqNullSafe(ids["__id"]) & (marked["__digest_here"] == ids["__digest"]), "left_semi")
     if again:
         out = out.dropDuplicates(["doc_id", "__digest_here"])
     return out.select(*[out[c] for c in docs.columns])
 
 
-def _repeats(kept: DataFrame) -> bool:
-    """Whether a doc_id stands on more than one row, so that it alone doesn't name a row."""
-    return kept.groupBy("doc_id").agg(F.sum("count").alias("n")).where("n > 1").limit(1).count() > 0
+def _repeats(docs: DataFrame) -> bool:
+    """Whether a doc_id is null or stands on more than one row, so that it alone doesn't name a row."""
+    return docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() > 0

@@ -72,6 +72,15 @@ def test_exact_dedup_second_batch(spark, docs):
     assert again.where("kept").count() == 0
 
 
+def test_keep_distinct_where_ids_do_not_name_rows(spark):
+    for given, want in (
+        ([(5, "X"), (5, "Y"), (3, "Y")], [(3, "Y"), (5, "X")]),
+        ([(None, "X"), (None, "X"), (None, "Y"), (4, "Y"), (6, "Z")], [(None, "X"), (4, "Y"), (6, "Z")]),
+    ):
+        got = exact_dedup.keep_distinct(spark.createDataFrame(given, "doc_id long, text string")).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_mixing(docs, data):
     got = mixing.mix(docs).collect()
     size = Counter()
