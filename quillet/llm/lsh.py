@@ -13,8 +13,9 @@ next one less:
 2. where a bucket still holds several, members outside its largest component are compared with all of that one;
 3. members still outside are compared with each other and with those that step 2 joined to the largest.
 
-Steps 2 and 3 ship bounded chunks of sets against chunks, and compare them in array operations; no pair becomes a row
-but a link. No pair of a bucket is left out unless both are connected already.
+Steps 2 and 3 ship bounded chunks of sets against chunks, and compare them in array operations; no pair of units becomes a row
+but a link, of which a unit has at most one with each component. Pairs of chunks, not buckets, are what tasks are dealt by, so a bucket or component
+of a third of all units is spread like any other. No pair of a bucket is left out unless both are connected already.
 """
 
 from __future__ import annotations
@@ -116,7 +117,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y") - both).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
 
-CHUNK = 64
+#: Sets in a chunk, and items of all of them; a set larger than that is a chunk nearly alone.
+CHUNK, ITEMS = 64, 1 << 18
 
 
 def _held(chunk: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,17 +145,28 @@ def _crossed(percent: int):
                         at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
                         both = np.add.reduceat(own[at] == flat, starts, dtype=np.int64)
                         hit = np.flatnonzero(able & (both * 100 >= (size + len(own) - both) * percent))
-                        out += [(int(unit), int(u)) for u in units[hit]]
+                        _, one = np.unique(parts[hit], return_index=True)
+                        out += [(int(unit), int(u)) for u in units[hit[one]]]
             yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _chunks(rows: DataFrame, key: str, each: int, name: str) -> DataFrame:
-    """rows (key, unit, component, items) to (key, chunk, name): lists of about ``each``."""
-    many = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / each).alias("many"))
+    """rows (key, unit, component, items) to (key, chunk, name): lists of about ``each`` sets and ``ITEMS`` items, whichever is less."""
+    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("items").cast("long")).alias("items_"))
+    many = size.select(key, F.greatest(F.ceil(F.col("sets") / each), F.ceil(F.col("items_") / ITEMS)).alias("many"))
     dealt = rows.join(many, key).withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("many")))
-    return dealt.groupBy(key, "chunk").agg(F.collect_list(F.struct("unit", "component", "items")).alias(name))
+    return staged(dealt.groupBy(key, "chunk").agg(F.collect_list(F.struct("unit", "component", "items")).alias(name)), "chunks")
+
+
+def _met(left: DataFrame, right: DataFrame, key: str, percent: int, same: bool = False) -> DataFrame:
+    """Links (a, b) between the sets of chunks (key, chunk, x) and (key, chunk, y) of a key; within one table of chunks each pair of them once."""
+    pairs = left.select(key, "chunk").join(right.select(key, F.col("chunk").alias("other")), key)
+    pairs = pairs.where("chunk <= other") if same else pairs
+    pairs = staged(pairs, "chunk-pairs")
+    held = pairs.join(left, [key, "chunk"]).join(right.withColumnRenamed("chunk", "other"), [key, "other"])
+    return held.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct()
 
 
 def link(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
@@ -162,15 +175,17 @@ def link(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     units: (unit long, n, keys array<long>), one row a distinct set. sets_of: from a table of units to (unit, items array<long>).
     Returns (unit, component) of the units in a component of two or more.
     """
-    dealt = units.select("unit", "n", F.explode("keys").alias("key"))
+    dealt = units.select(F.explode("keys").alias("key"), "unit")
     shared = dealt.groupBy("key").agg(F.min("unit").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = staged(shared.select("key", "centre"), "buckets")
     members = staged(dealt.join(shared, "key"), "members")
-    sets = staged(sets_of(members.select("unit").distinct()), "sets")
+    sizes = staged(units.select("unit", "n").join(members.select("unit").distinct(), "unit"), "sizes")
+    sets = staged(sets_of(sizes.select("unit")), "sets")
 
-    first = members.where("centre < unit").select(F.col("centre").alias("a"), F.col("unit").alias("b"), F.col("n").alias("nb")).distinct()
-    first = first.join(units.select(F.col("unit").alias("a"), F.col("n").alias("na")), "a")
-    first = first.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+    first = members.where("centre < unit").select(F.col("centre").alias("a"), F.col("unit").alias("b")).distinct()
+    of = lambda end: sizes.select(F.col("unit").alias(end), F.col("n").alias(f"n_{end}"))
+    first = first.join(of("a"), "a").join(of("b"), "b")
+    first = first.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
     parts = connected_components(_verified(first, sets, percent))
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -186,18 +201,16 @@ def link(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     named = here.select("unit", "component").distinct().join(sets, "unit")
     asks = out.select("unit", "component", "hub").distinct().join(sets, "unit")
     hubs = named.join(out.select(F.col("hub").alias("component")).distinct(), "component", "left_semi").withColumn("hub", F.col("component"))
-    met = _chunks(asks, "hub", CHUNK // 4, "x").drop("chunk").join(_chunks(hubs, "hub", CHUNK, "y").drop("chunk"), "hub")
-    parts = extended(parts, staged(met.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct(), "links"))
+    met = _met(_chunks(asks, "hub", CHUNK // 4, "x"), _chunks(hubs, "hub", CHUNK, "y"), "hub", percent)
+    parts = extended(parts, staged(met, "links"))
 
     again = placed(out.select("key", "unit", F.col("hub")))
     hub_now = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_now"))
     again = again.join(hub_now, "hub", "left").withColumn("joined", F.col("component") == F.coalesce("hub_now", "hub"))
     again = staged(again.select("key", "unit", "component", "joined"), "placed")
     open_ = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    again = staged(again.join(open_, "key").join(sets, "unit"), "outside-sets")
-    rest = staged(_chunks(again.where("not joined"), "key", CHUNK // 2, "x"), "outside-chunks")
-    right = rest.select("key", F.col("chunk").alias("other"), F.col("x").alias("y"))
-    pairs = rest.join(right, "key").where("chunk <= other").select("x", "y")
-    pairs = pairs.union(rest.select("key", "x").join(_chunks(again.where("joined"), "key", CHUNK, "y").drop("chunk"), "key").select("x", "y"))
-    parts = extended(parts, staged(pairs.mapInArrow(_crossed(percent), "a long, b long").distinct(), "links"))
+    again = again.join(open_, "key").join(sets, "unit")
+    rest = _chunks(again.where("not joined"), "key", CHUNK // 2, "x")
+    links = _met(rest, rest.withColumnRenamed("x", "y"), "key", percent, same=True).union(_met(rest, _chunks(again.where("joined"), "key", CHUNK, "y"), "key", percent))
+    parts = extended(parts, staged(links.distinct(), "links"))
     return parts.withColumnRenamed("node", "unit")

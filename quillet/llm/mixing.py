@@ -6,8 +6,8 @@ paired and words are moved from one to the other, in a random direction whose ch
 expectations, until one p is 0 or 1. Moving words rather than chances keeps a source's expected words
 exact at every step. Documents are dealt into leaves of about ``LEAF``; a leaf leaves at most one
 undecided document, the undecided ones of ``LEAF`` leaves meet in the next level, and so on: a tree
-whose depth is the logarithm of the largest source. At its root one document a source is rounded to the
-nearest whole number. So that this is a small one, documents over 1/8, 1/64 and 1/512 of their source (at
+whose depth is the logarithm of the largest source. At its root one document a source is rounded by lot, with
+its fraction for a chance, so that its expectation stays. So that this is a small one, documents over 1/8, 1/64 and 1/512 of their source (at
 most 8, 64 and 512 of each) are rounded before, and the classes below make up for what they take or leave: with
 enough small documents a source misses its target by less than 1/1024 of its size.
 
@@ -16,9 +16,10 @@ is read once, to count words.
 
 Defined results: null text has no words; sources are weighed 1, 2, 3, repeating in code point order with
 null last; a target stops at ``cap`` times its source and the excess goes to the others by weight.
-Rows that repeat doc_id, source and size share one decision. A document without words takes none. Randomness
-is a hash of (seed, doc_id), so reruns agree. An empty table gives an empty result. Further columns are
-carried along by ``mixed_documents`` and ignored elsewhere.
+Rows that repeat doc_id, source and size share one decision, and so do those of one source and size without doc_id. A document
+without words takes none. Randomness
+is a hash of (seed, doc_id), so reruns agree. An empty table gives an empty result. Further columns, whatever their names, are
+carried along by ``mixed_documents``, which moves no text, and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillet.llm.common import WORD, staged
+from quillet.llm.places import Places
 
 LEAF = 128
 #: Documents over these shares of their source are rounded first, class by class; what their rounding adds or
@@ -108,12 +110,21 @@ def _split(units: DataFrame, state: DataFrame) -> DataFrame:
     return units.withColumn("p", F.when(rest < _NEAR, 0.0).when(rest > 1 - _NEAR, 1.0).otherwise(rest))
 
 
+def _by_lot(seed: int):
+    """1 with the chance p, else 0."""
+    return (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1000000007)) / 1000000007.0 < F.col("p")).cast("double")
+
+
 _SETTLED = ["key", "doc_id", "size", "m", "e0", "p"]
 
 
 def mix(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
     """One row a unit (rows equal in doc_id, source and size): doc_id, source, size, m, source_size, target, copies."""
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return _mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), seed, cap)
+
+
+def _mix(sizes: DataFrame, seed: int, cap: float) -> DataFrame:
+    """``mix`` from (doc_id, source, size)."""
     sizes = staged(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "sizes")
     targets = staged(source_targets(sizes, cap).withColumn("key", _key()), "targets")
     share = F.col("size") * F.col("m") / F.col("source_size")
@@ -128,8 +139,7 @@ def mix(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
     for k in range(len(TIERS)):
         large = _split(units.where(F.col("tier") == k), state)
         rounded = _level(large.where(open_).withColumn("leaf", F.lit(0).cast("long")), seed + k)
-        by_lot = (F.pmod(F.xxhash64(F.lit(seed + k), "doc_id"), F.lit(1000000007)) / 1000000007.0 < F.col("p")).cast("double")
-        rounded = rounded.withColumn("p", F.when(open_, by_lot).otherwise(F.col("p")))
+        rounded = rounded.withColumn("p", F.when(open_, _by_lot(seed + k)).otherwise(F.col("p")))
         tier_rows = staged(large.where(~open_).select(*_SETTLED).unionByName(rounded.select(*_SETTLED)), f"tier-{k}")
         done.append(tier_rows)
         words = F.col("size") * F.col("m")
@@ -150,7 +160,7 @@ def mix(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
         level = staged(_level(rest, seed + 101 + k), f"pivotal-{k}")
         done.append(level.where(~open_).select(*_SETTLED))
         rest = level.where(open_).withColumn("leaf", F.floor(F.col("leaf") / LEAF))
-    done.append(rest.withColumn("p", F.round("p")).select(*_SETTLED))
+    done.append(rest.withColumn("p", _by_lot(seed + 100)).select(*_SETTLED))
     settled = done[0]
     for rows in done[1:]:
         settled = settled.unionByName(rows)
@@ -160,8 +170,10 @@ def mix(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
-    taken = staged(mix(docs, seed, cap).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")), "copies")
-    sized = docs.withColumn("__words", word_count(F.col("text")))
-    on = (sized["doc_id"] == taken["__id"]) & sized["source"].eqNullSafe(taken["__source"]) & (sized["__words"] == taken["__size"])
-    out = sized.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = Places(docs)
+    sizes = placed.bare(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    sizes = staged(sizes, "placed-sizes")
+    taken = _mix(sizes.select("doc_id", "source", "size"), seed, cap).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"), "copies")
+    on = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("words"))
+    return placed.repeated(staged(sizes.join(staged(taken, "taken"), on).select("file", "at", "copies"), "copies"))
