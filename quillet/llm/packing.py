@@ -45,6 +45,9 @@ def _cut(path: str, end_id: int, window: int, words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, most=words)
+        first = mixed(np.arange(enc.tokenizer.get_vocab_size(), dtype=np.uint64) + np.uint64(1))  # each id is hashed once, not each of its uses
+        second = mixed(first + np.uint64(7)) >> np.uint64(1)
+        first >>= np.uint64(1)
         for part in slices(batches):
             n, crcs, tails, one, two = [], [], [], [], []
             for text in part.column("text").to_pylist():
@@ -54,9 +57,8 @@ def _cut(path: str, end_id: int, window: int, words: int):
                 crcs.append([_crc(ids[k * window : (k + 1) * window]) for k in range(whole)])
                 tail = ids[whole * window :]
                 tails.append(tail.astype("<u4" if enc.dtype.itemsize > 2 else "<u2").tobytes())
-                h = mixed(tail.astype(np.uint64) + np.uint64(1)) if len(tail) else np.zeros(1, np.uint64)
-                one.append(int(h.min() >> np.uint64(1)))
-                two.append(int(mixed(h + np.uint64(7)).min() >> np.uint64(1)))
+                one.append(int(first[tail].min()) if len(tail) else 0)
+                two.append(int(second[tail].min()) if len(tail) else 0)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([enc.dtype.itemsize] * len(n), pa.int64())],
                 names=["doc_id", "n", "crcs", "tail", "one", "two", "width"],
@@ -74,7 +76,7 @@ class _Index:
         size = np.array([len(t) for t in tails], np.float32)
         sizes = [len(t) for t, _ in each]
         doc = np.repeat(np.arange(len(tails)), sizes)
-        term = np.concatenate([t for t, _ in each]).astype(np.int64)
+        term = np.concatenate([t for t, _ in each])
         tf = np.concatenate([c for _, c in each]).astype(np.float32)
         order = np.argsort(term, kind="stable")
         self.terms, starts = np.unique(term[order], return_index=True)

@@ -209,17 +209,18 @@ class QualityModel:
     def train(cls, docs: DataFrame, sample: int = FIT) -> QualityModel:
         bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         voted = staged(bare.mapInArrow(_vote, "doc_id long, pattern string"), "votes")
-        found = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3^10 rows
-        if not found:
+        seen = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3^10 rows
+        if not seen:
             return cls(np.zeros((2, len(LABELLERS), 3)), 0.5, np.zeros(WIDTH), {})
-        patterns = np.array([[int(c) for c in r["pattern"]] for r in found])
-        post, rates, prior = expectation(patterns, np.array([r["count"] for r in found], float))
-        belief = {r["pattern"]: float(p) for r, p in zip(found, post, strict=True)}
-        total = sum(r["count"] for r in found)
+        patterns = np.array([[int(c) for c in r["pattern"]] for r in seen])
+        post, rates, prior = expectation(patterns, np.array([r["count"] for r in seen], float))
+        belief = {r["pattern"]: float(p) for r, p in zip(seen, post, strict=True)}
+        total = sum(r["count"] for r in seen)
         share = min(1.0, sample / total)
         chosen = bare.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else bare
-        rows = chosen.mapInArrow(_sample, "doc_id long, pattern string, k array<int>, v array<double>").limit(2 * sample).collect()
-        rows.sort(key=lambda r: (r["doc_id"], r["pattern"]))
+        chosen = chosen.withColumn("lot", F.xxhash64(F.lit(5), "doc_id", "text"))
+        found = chosen.mapInArrow(_sample, "doc_id long, lot long, pattern string, k array<int>, v array<double>")
+        rows = found.orderBy("lot", "doc_id").limit(2 * sample).collect()  # the same rows whatever order tasks end in
         return cls(rates, prior, fit([(r["k"], r["v"], 1 - belief[r["pattern"]]) for r in rows]), belief)
 
     def score(self, docs: DataFrame) -> DataFrame:
@@ -231,7 +232,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         pattern = next(_vote(iter([part]))).column("pattern")
         rest = next(_featured(iter([pa.RecordBatch.from_arrays([pattern, part.column("text")], names=["pattern", "text"])])))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *rest.columns], names=["doc_id", "pattern", "k", "v"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lot"), *rest.columns], names=["doc_id", "lot", "pattern", "k", "v"])
 
 
 def _kept(weights: np.ndarray, least: float, schema: pa.Schema | None = None):
