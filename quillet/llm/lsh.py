@@ -63,7 +63,11 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of a text in UTF-8, A-Z lower-cased; a shorter text is one shingle."""
-    h = word_hashes(text)
+    return shingles(word_hashes(text), n)
+
+
+def shingles(h: np.ndarray, n: int) -> np.ndarray:
+    """``shingle_set`` from the words' hashes."""
     if not len(h):
         return np.empty(0, np.uint64)
     n = min(n, len(h))
@@ -169,13 +173,13 @@ def _met(left: DataFrame, right: DataFrame, key: str, percent: int, same: bool =
     return held.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct()
 
 
-def link(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
+def link(keyed: DataFrame, units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
     """Components of the links between units.
 
-    units: (unit long, n, keys array<long>), one row a distinct set. sets_of: from a table of units to (unit, items array<long>).
+    keyed: (unit long, keys array<long>) and units: (unit, n), one row a distinct set each. sets_of: from a table of units to (unit, items array<long>).
     Returns (unit, component) of the units in a component of two or more.
     """
-    dealt = units.select(F.explode("keys").alias("key"), "unit")
+    dealt = keyed.select(F.explode("keys").alias("key"), "unit")
     shared = dealt.groupBy("key").agg(F.min("unit").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = staged(shared.select("key", "centre"), "buckets")
     members = staged(dealt.join(shared, "key"), "members")

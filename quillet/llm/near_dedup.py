@@ -70,7 +70,7 @@ def _linked(placed: Places, words: int, percent: int, bands: int, rows: int) ->
         texts = placed.only(chosen).select(F.col("text").cast("binary").alias("text"))
         return texts.mapInArrow(_sets(words), "same binary, items array<long>").join(chosen.select("same", "unit"), "same").select("unit", "items")
 
-    parts = link(units.select("unit", "n", "keys"), sets_of, percent)
+    parts = link(units.select("unit", "keys"), units.select("unit", "n"), sets_of, percent)
     named = units.select("same", "unit", "head").join(parts, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     first = named.groupBy("component").agg(F.min("head").alias("head"))
     return signed.drop("keys"), staged(named.select("same", "component").join(first, "component").select("same", "head"), "named")

@@ -27,7 +27,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.clusters(table(spark, sf_dir, "documents")).drop("text_hash", "whole")
+    return paragraphs.clusters(table(spark, sf_dir, "documents")).drop("whole")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
