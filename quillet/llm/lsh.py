@@ -156,12 +156,16 @@ def _crossed(percent: int):
     return run
 
 
-def _chunks(rows: DataFrame, key: str, each: int, name: str) -> DataFrame:
-    """rows (key, unit, component, items) to (key, chunk, name): lists of about ``each`` sets and ``ITEMS`` items, whichever is less."""
-    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("items").cast("long")).alias("items_"))
-    many = size.select(key, F.greatest(F.ceil(F.col("sets") / each), F.ceil(F.col("items_") / ITEMS)).alias("many"))
-    dealt = rows.join(many, key).withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("many")))
-    return staged(dealt.groupBy(key, "chunk").agg(F.collect_list(F.struct("unit", "component", "items")).alias(name)), "chunks")
+def _chunks(rows: DataFrame, sizes: DataFrame, sets: DataFrame, key: str, each: int, name: str) -> DataFrame:
+    """rows (key, unit, component) to (key, chunk, name): lists of about ``each`` sets and ``ITEMS`` items, whichever is less.
+
+    Numbers alone meet by key, in a join that can be split; sets are then dealt by key and chunk.
+    """
+    sized = rows.select(key, "unit", "component").join(sizes, "unit")
+    many = sized.groupBy(key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / each), F.ceil(F.sum("n") / ITEMS)).alias("many"))
+    dealt = sized.join(many, key).withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("many"))).select(key, "chunk", "unit", "component")
+    held = staged(dealt, "dealt").join(sets, "unit")
+    return staged(held.groupBy(key, "chunk").agg(F.collect_list(F.struct("unit", "component", "items")).alias(name)), "chunks")
 
 
 def _met(left: DataFrame, right: DataFrame, key: str, percent: int, same: bool = False) -> DataFrame:
@@ -202,10 +206,9 @@ def link(keyed: DataFrame, units: DataFrame, sets_of: Callable[[DataFrame], Data
     out = staged(out, "outside")
     if not out.limit(1).count():
         return parts.withColumnRenamed("node", "unit")
-    named = here.select("unit", "component").distinct().join(sets, "unit")
-    asks = out.select("unit", "component", "hub").distinct().join(sets, "unit")
-    hubs = named.join(out.select(F.col("hub").alias("component")).distinct(), "component", "left_semi").withColumn("hub", F.col("component"))
-    met = _met(_chunks(asks, "hub", CHUNK // 4, "x"), _chunks(hubs, "hub", CHUNK, "y"), "hub", percent)
+    asks = out.select("unit", "component", "hub").distinct()
+    hubs = here.select("unit", "component").distinct().join(out.select(F.col("hub").alias("component")).distinct(), "component", "left_semi").withColumn("hub", F.col("component"))
+    met = _met(_chunks(asks, sizes, sets, "hub", CHUNK // 4, "x"), _chunks(hubs, sizes, sets, "hub", CHUNK, "y"), "hub", percent)
     parts = extended(parts, staged(met, "links"))
 
     again = placed(out.select("key", "unit", F.col("hub")))
@@ -213,8 +216,8 @@ def link(keyed: DataFrame, units: DataFrame, sets_of: Callable[[DataFrame], Data
     again = again.join(hub_now, "hub", "left").withColumn("joined", F.col("component") == F.coalesce("hub_now", "hub"))
     again = staged(again.select("key", "unit", "component", "joined"), "placed")
     open_ = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    again = again.join(open_, "key").join(sets, "unit")
-    rest = _chunks(again.where("not joined"), "key", CHUNK // 2, "x")
-    links = _met(rest, rest.withColumnRenamed("x", "y"), "key", percent, same=True).union(_met(rest, _chunks(again.where("joined"), "key", CHUNK, "y"), "key", percent))
+    again = staged(again.join(open_, "key"), "again")
+    rest = _chunks(again.where("not joined"), sizes, sets, "key", CHUNK // 2, "x")
+    links = _met(rest, rest.withColumnRenamed("x", "y"), "key", percent, same=True).union(_met(rest, _chunks(again.where("joined"), sizes, sets, "key", CHUNK, "y"), "key", percent))
     parts = extended(parts, staged(links.distinct(), "links"))
     return parts.withColumnRenamed("node", "unit")
