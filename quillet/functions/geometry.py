@@ -42,18 +42,41 @@ def score(a: Column, b: Column) -> Column:
     return overlap(a, b) * 0.6 + iou(a, b) * 0.3 + near * 0.1
 
 
+# Names of layout categories, and of the browser's filters.
+CATEGORIES = {
+    "title": ("title", "doc_title", "paragraph_title"),
+    "plain_text": ("plain_text", "text", "paragraph", "reference", "abstract", "code", "page_header", "page_footer"),
+    "table": ("table", "table_caption", "table_note"),
+    "figure": ("figure", "image", "chart", "figure_title", "figure_note"),
+    "abandoned": ("abandoned", "vision_footnote"),
+    "formula": ("formula",),
+    "seal": ("seal",),
+}
+FILTERS = {
+    "titles": ("title", "doc_title", "paragraph_title"),
+    "text": ("plain_text", "text", "paragraph", "reference", "abstract", "code", "page_header", "page_footer"),
+    "tables": ("table", "table_caption"),
+    "figures": ("figure", "image", "chart", "figure_title"),
+    "notes": ("note", "notes", "vision_footnote", "abandoned", "table_note", "figure_note"),
+}
+
+
+def _named(label: Column, groups: dict[str, tuple[str, ...]], otherwise: Column) -> Column:
+    token = F.regexp_replace(F.lower(F.trim(F.coalesce(label, F.lit("unknown")))), r"[\s-]+", "_")
+    out = otherwise if otherwise is not None else token
+    for name, members in reversed(groups.items()):
+        out = F.when(token.isin(*members), name).otherwise(out)
+    return out
+
+
 def category(label: Column) -> Column:
-    """Canonical layout category of a label."""
-    c = F.regexp_replace(F.lower(F.trim(label)), r"[\s-]+", "_")
-    # Alias sets of layout categories.
-    return (
-        F.when(c.isin("title", "doc_title", "paragraph_title", "heading"), "title")
-        .when(c.isin("text", "plain_text", "paragraph", "content"), "text")
-        .when(c.isin("table", "table_body"), "table")
-        .when(c.isin("figure", "image", "chart"), "figure")
-        .when(c.isin("footnote", "vision_footnote", "note"), "footnote")
-        .otherwise(c)
-    )
+    """A label's canonical category; an unknown one stays itself, normalised."""
+    return _named(label, CATEGORIES, None)
+
+
+def block_filter(label: Column) -> Column:
+    """The browser's filter that a label belongs to, or null."""
+    return _named(label, FILTERS, F.lit(None).cast("string"))
 
 
 def turned(b: Column, clockwise: bool = True) -> Column:
@@ -75,3 +98,25 @@ def cropped(b: Column, to: Column) -> Column:
 def rescaled(b: Column, width: Column, height: Column, to_width: Column, to_height: Column) -> Column:
     sx, sy = to_width / width, to_height / height
     return box(F.round(b["x"] * sx), F.round(b["y"] * sy), F.round(b["width"] * sx), F.round(b["height"] * sy))
+
+
+def clamped(x: Column) -> Column:
+    """Between 0 and 1, to four digits."""
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 4)
+
+
+def pixels(b: Column, width: Column, height: Column) -> Column:
+    """A normalised box in pixels; halves go up."""
+    up = lambda x: F.floor(x + 0.5).cast("int")
+    return F.struct(up(b["x"] * width).alias("x"), up(b["y"] * height).alias("y"), up(b["width"] * width).alias("width"), up(b["height"] * height).alias("height"))
+
+
+def downscaled(width: Column, height: Column, side: int = 1000, area: int = 1_000_000) -> Column:
+    """(width, height) of a page image that is to be smaller where its longer side or its area is over the bound."""
+    scale = F.when((F.greatest(width, height) > side) | (width * height > area), F.least(F.lit(1.0), F.lit(float(side)) / F.greatest(width, height))).otherwise(1.0)
+    return F.struct(F.greatest(F.lit(1), F.round(width * scale).cast("int")).alias("width"), F.greatest(F.lit(1), F.round(height * scale).cast("int")).alias("height"))
+
+
+def rectangles(annotations: Column) -> Column:
+    """Boxes of the rectangles among an array of annotations."""
+    return F.transform(F.filter(annotations, lambda a: a["kind"] == "rectangle"), lambda a: F.struct(*[a[c].alias(c) for c in ("x", "y", "width", "height")]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ def _accent_map() -> tuple[str, str]:
 
 ACCENTED, PLAIN = _accent_map()
 # Marks stripped from the edges of entity values.
-EDGE = r"\"'“”‘’«»()\[\]{}.,;:!?¡¿—–\-"
+EDGE = r"\"'“”‘’\-–—«»()\[\]{}:;,.!?/\\|"
 # Operators of the full-text query language.
 OPERATORS = ("AND", "OR", "NOT", "NEAR")
 
@@ -42,8 +43,13 @@ def strip(text: Column) -> Column:
 
 
 def sanitize_value(text: Column) -> Column:
-    """Entity value without blanks and listed punctuation at its edges."""
-    return F.regexp_replace(text, rf"^[{EDGE}\s]+|[{EDGE}\s]+$", "")
+    """Entity value, mojibake repaired where its telltale marks are, without blanks and listed punctuation at its edges."""
+    return F.regexp_replace(repair_mojibake(text), rf"(?U)^[{EDGE}\s]+|[{EDGE}\s]+$", "")
+
+
+def sanitized(text: str) -> str:
+    """``sanitize_value`` of one Python string."""
+    return _repaired(text).strip().strip("\"'“”‘’-–—«»()[]{}:;,.!?/\\| \t\n\r\v\f\u00a0").strip()
 
 
 def normalize_value(text: Column) -> Column:
@@ -75,8 +81,8 @@ def match_terms(query: Column) -> Column:
 
 
 def store_terms(query: Column) -> Column:
-    """The stores' variant: only upper-case operators go, punctuation vanishes inside words."""
-    words = F.filter(_terms(query), lambda w: ~w.isin(*OPERATORS))
+    """The stores' variant: upper-case operators go wherever they stand as words, punctuation vanishes inside words."""
+    words = _terms(F.regexp_replace(query, rf"\b(?:{'|'.join(OPERATORS)})\b", " "))
     return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r'[()"\-*^:,./\\]', "")), lambda w: w != "")
 
 
@@ -130,11 +136,7 @@ def extension(path: Column) -> Column:
 def file_kind(path: Column) -> Column:
     ext = extension(path)
     # Media types by extension.
-    return (
-        F.when(ext.isin("jpg", "jpeg", "png", "gif", "webp", "bmp", "tif", "tiff"), "image")
-        .when(ext == "pdf", "pdf")
-        .when(ext.isin("mp3", "wav", "ogg", "m4a", "flac", "aac", "webm"), "audio")
-    )
+    return F.when(ext.isin("png", "jpg", "jpeg", "webp", "tiff", "tif"), "image").when(ext == "pdf", "pdf").when(ext.isin("wav", "mp3", "flac", "m4a", "aac", "ogg"), "audio")
 
 
 def note_text(html: Column) -> Column:
@@ -158,7 +160,7 @@ def unfenced(text: Column) -> Column:
 
 def jsonish(text: Column) -> Column:
     """Near-JSON made JSON: straight quotes, no trailing comma, comma between objects."""
-    t = F.translate(text, "“”‘’", "\"\"''")
+    t = F.translate(strip(text), "“”„‟‘’‚‛", "\"\"\"\"''''")
     return F.regexp_replace(F.regexp_replace(t, r",\s*([\]}])", "$1"), r"\}\s*\{", "},{")
 
 
@@ -175,28 +177,33 @@ def to_millis(t: Column) -> Column:
     return F.when((t > 0) & (t < 10**12), t * 1000).otherwise(t)
 
 
-@F.pandas_udf(T.StringType())
-def repair_mojibake(values):
-    """Text that was decoded once too often as Latin-1, decoded again where that lowers the number of its telltale marks."""
-    marks = ("Ã", "Â", "â€")
+_MARKS = ("Ã", "Â", "â€")
 
-    def score(v: str) -> int:
-        return sum(v.count(m) for m in marks) + v.count("�")
 
-    def one(v):
-        if v is None or not score(v):
-            return v
-        try:
-            again = v.encode("latin-1").decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            return v
-        return again if score(again) < score(v) else v
+def _repaired(v: str) -> str:
+    """``repair_mojibake`` of one Python string."""
+    score = lambda t: sum(t.count(m) for m in (*_MARKS, "�"))
+    v = v.strip()
+    try:
+        again = v.encode("latin-1").decode("utf-8") if any(m in v for m in _MARKS) else v
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        return v
+    return again if score(again) < score(v) else v
 
-    return values.map(one)
+
+def repair_mojibake(text: Column) -> Column:
+    """Text that was decoded once too often as Latin-1, decoded again where it can be and where that lowers the number of its telltale marks.
+
+    A second decoding as Windows-1252 gives its own input again and so never lowers it; there is none.
+    """
+    score = lambda t: F.size(F.regexp_extract_all(t, F.lit("Ã|Â|â€|�"), F.lit(0)))
+    again = F.encode(text, "ISO-8859-1").cast("string")
+    better = F.when(F.is_valid_utf8(again) & (score(again) < score(text)), again).otherwise(text)
+    return F.when(text.rlike("Ã|Â|â€") & text.rlike(r"^[\x00-\xFF]*$"), better).otherwise(text)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def json_objects(values):
+def json_objects(values: pd.Series) -> pd.Series:
     """Top-level {...} objects of a text, strings and escapes respected."""
 
     def one(v):
@@ -217,3 +224,110 @@ def json_objects(values):
         return out
 
     return values.map(one)
+
+
+def manual_value(text: Column) -> Column:
+    """A value typed by hand without quotation marks, dashes and blanks at its edges."""
+    edge = "[\"'“”‘’«»\\-–—\\s]+"
+    return F.regexp_replace(text, rf"(?U)^{edge}|{edge}$", "")
+
+
+def log_preview(text: Column, most: int) -> Column:
+    """On one line, line ends shown as escapes, cut with an ellipsis."""
+    flat = F.replace(F.replace(text, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
+
+
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+
+
+def asset_path(path: Column) -> Column:
+    """From the last assets folder on; a path without one is its file name."""
+    found = F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"(?s)^.*/(assets/.*)$", 1)
+    return F.when(found == "", file_name(path)).otherwise(found)
+
+
+def moved_path(path: Column, old: str, new: str) -> Column:
+    """Paths under ``old`` with every ``old`` exchanged for ``new``."""
+    return F.when(path.startswith(old), F.replace(path, F.lit(old), F.lit(new))).otherwise(path)
+
+
+def next_version(path: Column) -> Column:
+    """a.png, a_v2.png, a_v3.png and so on."""
+    stem, ext = F.regexp_extract(path, r"(?s)^(.*?)(\.[^./\\]*)?$", 1), F.regexp_extract(path, r"(?s)^(.*?)(\.[^./\\]*)?$", 2)
+    number, base = F.regexp_extract(stem, r"_v([0-9]+)$", 1), F.regexp_replace(stem, r"_v[0-9]+$", "")
+    return F.concat(base, F.lit("_v"), F.when(number == "", F.lit(2)).otherwise(number.try_cast("int") + 1).cast("string"), ext)
+
+
+def page_file(prefix: Column, page: Column) -> Column:
+    return F.format_string("%s_page_%d.png", prefix, page)
+
+
+def model_text(raw: Column) -> Column:
+    """A model's answer: cut at turn markers, unfenced, without known lead-ins, unquoted where long or of several lines."""
+    # Turn markers and lead-ins.
+    cut = strip(F.regexp_extract(F.concat(strip(raw), F.lit("<eos>")), r"(?s)^(.*?)<(?:end_of_turn|start_of_turn|eos)>", 1))
+    fenced = F.regexp_replace(F.regexp_replace(cut, r"^```(?:text)*(?:txt)*(?:markdown)*(?:json)*(?:JSON)*\s*", ""), r"\s*```$", "")
+    body = F.when(cut.startswith("```"), strip(fenced)).otherwise(cut)
+    body = strip(F.regexp_replace(body, r"(?iu)^(?:texto corregido:|texto corregido y unificado:|corrección ocr:|correccion ocr:|resultado corregido:)", ""))
+    inner = F.substring(body, F.lit(2), F.length(body) - 2)
+    quoted_ = body.rlike(r"(?s)^([\"']).*\1$") & (F.length(body) >= 2) & (F.contains(inner, F.lit("\n")) | (F.octet_length(inner) > 80))
+    return F.when(quoted_, strip(inner)).otherwise(body)
+
+
+def model_array(raw: Column) -> Column:
+    """The outermost JSON array of a model's answer, or else all of it."""
+    text = model_text(raw)
+    found = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
+    return F.when(found == "", text).otherwise(strip(found))
+
+
+def framed(output: Column, name: str) -> Column:
+    """What a helper process printed between its markers, or else all of it, trimmed."""
+    found = F.regexp_extract(output, rf"(?s)==={name}_BEGIN===(.*?)==={name}_END===", 1)
+    return strip(F.when(found == "", output).otherwise(found))
+
+
+def cache_key(text: Column) -> Column:
+    """A 64-bit hash of a text, to look results up by; it is never stored."""
+    return F.xxhash64(text)
+
+
+def sound_text(text: Column) -> Column:
+    """Text whose broken code units are replaced."""
+    return F.make_valid_utf8(text)
+
+
+def age_label(then: Column, now: Column) -> Column:
+    """How long ago a time in milliseconds was: days, else hours, else minutes, else a moment."""
+    minutes = F.floor((now - then) / 60000)
+    label = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit} ago"))
+    hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
+    return F.when(days > 0, label(days, "d")).when(hours > 0, label(hours, "h")).when(minutes > 0, label(minutes, "min")).otherwise("a moment ago")
+
+
+def layout_page(page: Column, fallback: int = 1) -> Column:
+    """A whole page number from 1 on."""
+    n = F.when(F.isnan(page.cast("double")) | (F.abs(page.cast("double")) == float("inf")), None).otherwise(page.cast("double"))
+    whole = F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).cast("int")
+    return F.when(whole >= 1, whole).otherwise(fallback)
+
+
+def dictation_extension(mime: Column) -> Column:
+    # Recording formats by what their media type contains.
+    m = F.lower(mime)
+    has = lambda *w: F.coalesce(m.rlike("|".join(w)), F.lit(False))
+    return F.when(has("ogg"), "ogg").when(has("mp4", "m4a"), "m4a").when(has("mpeg", "mp3"), "mp3").when(has("wav"), "wav").otherwise("webm")
+
+
+def split_statements(sql: str) -> list[str]:
+    """Statements of a script, cut at semicolons, blank ones dropped."""
+    return [part.strip() for part in sql.split(";") if part.strip()]
+
+
+def search_text(title: Column, metadata: Column) -> Column:
+    """What is searched of an item: title and metadata, blanks between JSON tokens gone; metadata that is no JSON counts as it stands."""
+    outside = r'[ \t\r\n]+(?=(?:[^"\\]*(?:\\.[^"\\]*)*"(?:[^"\\]|\\.)*")*[^"]*$)'
+    small = F.when(F.try_parse_json(metadata).isNotNull(), F.regexp_replace(metadata, outside, "")).otherwise(metadata)
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(small, F.lit("")))

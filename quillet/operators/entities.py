@@ -9,42 +9,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillet.functions.text import sanitize_value
+from quillet.functions.arrays import let, running
+from quillet.functions.text import sanitize_value, sanitized
 
+# The patterns of the rules, in Java's notation with Unicode classes for blanks and word ends.
 _CAP = "[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+"
-_MONTH = "(?:enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|setiembre|octubre|noviembre|diciembre)"
-# The vocabulary of the rules.
+_JOIN = rf"(?:\s+(?:de|del|la|las|los|y)\s+{_CAP}|\s+{_CAP})*"
 RULES = {
-    "person": rf"(?:Don|Doña|Dr\.?|Fray|Sor|Fr\.)[ ]+{_CAP}(?:[ ]+(?:de[ ]+|del[ ]+|la[ ]+)*{_CAP})*",
-    "place": rf"(?:(?:ciudad|villa|pueblo|provincia)[ ]+de|río|sierra)[ ]+(?:(?:la|los|las|el|San|Santa)[ ]+)*{_CAP}(?:[ ]+(?:de[ ]+|del[ ]+|la[ ]+)*{_CAP})*",
-    "date_written": rf"[0-9]{{1,2}}[ ]+de[ ]+{_MONTH}[ ]+de[ ]+[0-9]{{4}}",
-    "date_numeric": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
-    "institution": rf"(?:Real|Cabildo|Iglesia|Convento|Universidad|Audiencia)(?:[ ]+(?:de[ ]+|del[ ]+|la[ ]+)*{_CAP})+",
+    "person": rf"(?U)(?:Don|Doña|Dr\.?|Fray|Sor|Fr\.)\s+{_CAP}(?:\s+{_CAP})*",
+    "place": rf"(?U)(?:(?:ciudad|villa|pueblo|provincia)\s+de\s+{_CAP}{_JOIN}|(?:río|sierra)\s+{_CAP}{_JOIN})",
+    "date_written": r"(?U)\b\d{1,2}\s+de\s+[a-záéíóúñ]+\s+de\s+\d{4}\b",
+    "date_numeric": r"(?U)\b\d{1,2}/\d{1,2}/\d{4}\b",
+    "institution": rf"(?U)(?:Real|Cabildo|Iglesia|Convento|Universidad|Audiencia)(?:\s+{_CAP})*",
 }
+KEYWORDS = ("Real", "Cabildo", "Iglesia", "Convento", "Universidad", "Audiencia")
 VERBS = ("es", "fue", "nació en", "vivió en", "fundó", "escribió", "pertenece a", "trabaja en", "dirigió", "murió en")
 TRIPLE = rf"(?i)^\s*(.+?)\s+({'|'.join(VERBS)})\s+(.+?)\s*$"
 
 
-def matches(text: Column, pattern: str, entity_type: str) -> Column:
-    """(entity_type, value, start, end) of each match, offsets in characters, from the lengths of gaps and matches."""
-    zero = F.lit(0)
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), zero, lambda s, x: s + F.length(x))
+def matches(text: Column, pattern: str) -> Column:
+    """(value, start, end) of each match, offsets in characters, from running sums of the lengths of gaps and matches."""
+    long = lambda a: F.transform(a, lambda x: F.length(x).cast("long"))
 
     def spans(of: Column) -> Column:
-        def span(h: Column, i: Column) -> Column:
-            start = total(of["gaps"], i + 1) + total(of["hits"], i)
-            return F.struct(F.lit(entity_type).alias("entity_type"), sanitize_value(h).alias("value"), start.alias("start"), (start + F.length(h)).alias("end"))
+        steps = F.transform(of["n"], lambda _, i: F.get(of["g"], i) + F.when(i > 0, F.get(of["n"], i - 1)).otherwise(F.lit(0).cast("long")))
+        return let(running(steps), lambda at: F.transform(of["hits"], lambda h, i: F.struct(h.alias("value"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(h)).alias("end"))))
 
-        return F.transform(of["hits"], span)
-
-    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    return F.element_at(F.transform(F.array(found), spans), 1)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = let(F.struct(hits.alias("hits"), long(F.split(text, pattern, -1)).alias("g")), lambda f: let(F.struct(f["hits"].alias("hits"), f["g"].alias("g"), long(f["hits"]).alias("n")), spans))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found)
 
 
 def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, entity_type, value, start, end) by all rules."""
-    found = F.concat(*[matches(F.col(text), p, name.split("_")[0]) for name, p in RULES.items()])
-    return docs.select(key, F.explode(found).alias("e")).select(key, "e.*").where("value <> ''")
+    """(key, entity_type, value, start, end) by all rules; offsets are those of the whole match, values are sanitised."""
+    def typed(name: str) -> Callable[[Column], Column]:
+        return lambda m: F.struct(F.lit(name.split("_")[0]).alias("entity_type"), m["value"].alias("value"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"))
+
+    spans = [F.transform(matches(F.col(text), p), typed(name)) for name, p in RULES.items()]
+    found = F.flatten(F.filter(F.array(*spans), lambda a: a.isNotNull()))
+    rows = docs.select(key, F.explode(found).alias("e")).select(key, "e.*")
+    return rows.withColumn("value", sanitize_value(F.col("value"))).where("value <> ''")
 
 
 def family(entity_type: Column) -> Column:
@@ -59,33 +63,41 @@ def unprotected(candidates: DataFrame, protected: DataFrame) -> DataFrame:
     return c.join(p, (F.col("item_id") == F.col("pi")) & (family(F.col("entity_type")) == F.col("pf")) & near, "left_anti")
 
 
+# Ranks of sources and types.
 _SOURCE = {"rule_based": 1, "onnx": 2, "spacy": 3, "llm": 4}
 _TYPE = {"institution": 5, "date": 4, "person": 3, "place": 3, "organization": 2}
 
 
+def _group(e) -> str:
+    return "organization" if e.entity_type == "institution" else e.entity_type
+
+
+def _norm(value: str) -> str:
+    return " ".join(sanitized(value).split()).lower()
+
+
+_CORE = ("person", "place", "organization", "institution")
+
+
 def _preferred(a, b):
-    """The winner of two related entities; the earlier where nothing tells them apart."""
-    for x, y in ((a, b), (b, a)):
-        if x.source == "rule_based" and x.entity_type == "date" and not (y.source == "rule_based" and y.entity_type == "date"):
-            return x
-    group = lambda e: "organization" if e.entity_type == "institution" else e.entity_type
-    for x, y in ((a, b), (b, a)):
-        core = x.entity_type in ("person", "place", "organization", "institution")
-        if x.source == "onnx" and core and y.source not in ("onnx", "spacy") and group(x) == group(y) and x.confidence >= y.confidence + 0.05:
-            return x
-    for x, y in ((a, b), (b, a)):
-        if x.source == "rule_based" and x.entity_type == "institution" and y.entity_type in ("organization", "institution") and y.source != "rule_based":
-            return x
-    ranks = [_TYPE.get(e.entity_type, 1) for e in (a, b)]
-    if ranks[0] != ranks[1]:
-        return a if ranks[0] > ranks[1] else b
-    spans = [e.end - e.start for e in (a, b)]
-    for (x, sx), (y, sy) in (((a, spans[0]), (b, spans[1])), ((b, spans[1]), (a, spans[0]))):
-        if sx > sy and x.confidence >= y.confidence:
-            return x
-    if a.confidence != b.confidence:
-        return a if a.confidence > b.confidence else b
-    return a if _SOURCE.get(a.source, 9) <= _SOURCE.get(b.source, 9) else b
+    """The winner of two related entities, ``a`` the earlier one, which stays where nothing tells them apart."""
+
+    def first(holds) -> object | None:
+        return a if holds(a, b) else b if holds(b, a) else None
+
+    rules = (
+        lambda x, y: x.source == "rule_based" and x.entity_type == "date",
+        lambda x, y: x.source == "onnx" and x.entity_type in _CORE and y.source not in ("onnx", "spacy") and _group(x) == _group(y) and x.confidence >= y.confidence + 0.05,
+        lambda x, y: x.source == "rule_based" and x.entity_type == "institution" and _group(y) == "organization",
+        lambda x, y: _TYPE.get(x.entity_type, 1) > _TYPE.get(y.entity_type, 1),
+        lambda x, y: x.end - x.start > y.end - y.start and x.confidence >= y.confidence,
+        lambda x, y: x.confidence > y.confidence,
+    )
+    for rule in rules:
+        found = first(rule)
+        if found is not None:
+            return found
+    return b if _SOURCE.get(b.source, 9) > _SOURCE.get(a.source, 9) else a
 
 
 def _folded(pdf: pd.DataFrame, related: Callable, pick: Callable) -> pd.DataFrame:
@@ -100,22 +112,28 @@ def _folded(pdf: pd.DataFrame, related: Callable, pick: Callable) -> pd.DataFram
 
 
 def merge_sources(entities: DataFrame, key: str) -> DataFrame:
-    """A fold in order of (start, end, source): each entity meets the last kept one; overlapping or nearly equal ones leave the preferred."""
+    """A fold in order of (start, end, source) inside one document: each entity meets the last kept one; overlapping or nearly equal ones leave the preferred."""
 
     def related(a, b) -> bool:
         if a.start < b.end and b.start < a.end:
             return True
-        same = a.value.strip().lower() == b.value.strip().lower()
+        same = _norm(a.value) == _norm(b.value)
         return same and ((abs(a.start - b.start) <= 2 and abs(a.end - b.end) <= 2) or a.entity_type == b.entity_type)
 
     return entities.groupBy(key).applyInPandas(lambda pdf: _folded(pdf, related, _preferred), entities.schema)
 
 
 def bio_spans(pieces: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Entities of B-/I- tagged pieces: (key, entity_type, start, end, confidence, n); other tags are dropped before."""
+    """Entities of B-/I- tagged pieces: (key, entity_type, start, end, confidence, n); other tags are dropped before.
+
+    A B- opens an entity unless it goes on with the one before: of the same type, and starting at or before its end. ``decode`` is
+    the full decoder, that sees pieces and text.
+    """
     tagged = pieces.where(F.col("label").rlike("^[BI]-")).withColumn("entity_type", F.substring("label", 3, 20))
     by = W.partitionBy(key).orderBy(*order)
-    opens = F.col("label").startswith("B-") | (F.lag("entity_type").over(by) != F.col("entity_type")) | F.lag("entity_type").over(by).isNull()
+    other = (F.lag("entity_type").over(by) != F.col("entity_type")) | F.lag("entity_type").over(by).isNull()
+    touches = F.col("start") <= F.lag("end").over(by)
+    opens = other | (F.col("label").startswith("B-") & ~touches)
     grouped = tagged.withColumn("opens", opens.cast("int")).withColumn("g", F.sum("opens").over(by))
     return grouped.groupBy(key, "g").agg(F.first("entity_type").alias("entity_type"), F.min("start").alias("start"), F.max("end").alias("end"), F.round(F.avg("score"), 6).alias("confidence"), F.count(F.lit(1)).alias("n")).drop("g")
 
@@ -139,7 +157,6 @@ def dedup_document(entities: DataFrame, key: str, near: int = 8) -> DataFrame:
     The first kept one that overlaps, has an equal or prefix value within ``near`` at both ends, or the same value anywhere absorbs it;
     the fuller of the two stays, the earlier where both are alike.
     """
-    family = lambda e: "organization" if e.entity_type == "institution" else e.entity_type
     norm = lambda e: " ".join("".join(c if c.isalnum() else " " for c in e.value.lower()).split())
 
     def fullness(e) -> int:
@@ -150,7 +167,7 @@ def dedup_document(entities: DataFrame, key: str, near: int = 8) -> DataFrame:
         for e in pdf.sort_values(["start", "end", "value", "source"], kind="stable").itertuples(index=False):
             n = norm(e)
             for k, (other, m) in enumerate(kept):
-                if family(other) != family(e):
+                if _group(other) != _group(e):
                     continue
                 close = abs(other.start - e.start) <= near and abs(other.end - e.end) <= near
                 if (e.start < other.end and other.start < e.end) or (n and n == m) or (close and (m.startswith(n) or n.startswith(m))):

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillet.functions import geometry as g
+from quillet.functions.text import layout_page, preview
+from quillet.operators.relational import merged_text
 
 
 def match_regions(blocks: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
@@ -77,3 +81,217 @@ def reading_order(regions: DataFrame, key: list[str]) -> DataFrame:
 
     types = dict(regions.dtypes)
     return regions.groupBy(*key).applyInPandas(page, ", ".join(f"{k} {types[k]}" for k in [*key, "region_id"]) + ", place long")
+
+
+def on_page(df: DataFrame, page: int, column: str = "page") -> DataFrame:
+    """Blocks or regions of a page; those without a sound page number are on page 1."""
+    return df.where(layout_page(F.col(column)) == max(1, page))
+
+
+def of_type(blocks: DataFrame, name: str) -> DataFrame:
+    """Blocks of one of the browser's filters; ``all`` keeps every block."""
+    return blocks if name == "all" else blocks.where(g.block_filter(F.col("label")) == name)
+
+
+def filter_counts(blocks: DataFrame, key: list[str]) -> DataFrame:
+    """(key, all, titles, text, tables, figures, notes): blocks in each filter."""
+    named = blocks.withColumn("__f", g.block_filter(F.col("label")))
+    return named.groupBy(*key).agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("__f") == n).alias(n) for n in g.FILTERS])
+
+
+def page_counts(blocks: DataFrame, key: list[str]) -> DataFrame:
+    """(key, page, blocks)."""
+    return blocks.groupBy(*key, layout_page(F.col("page")).alias("page")).agg(F.count(F.lit(1)).alias("blocks"))
+
+
+def pages_of(blocks: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
+    """(key, pages): the pages that blocks or regions stand on, in order."""
+    both = blocks.select(*key, layout_page(F.col("page")).alias("page")).unionByName(regions.select(*key, layout_page(F.col("page")).alias("page")))
+    return both.distinct().groupBy(*key).agg(F.array_sort(F.collect_list("page")).alias("pages"))
+
+
+def block_views(blocks: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
+    """Blocks as they are shown: with defaults, a preview, and the box of the region that fits, in the order of page, order, group and id.
+
+    blocks: key, block_id, label, content, bbox, order, group, page; regions: key, region_id, category, bbox, group, page.
+    """
+    own = [*key, "page"]
+    b = blocks.withColumn("page", layout_page(F.col("page"))).withColumn("label", F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("unknown")))
+    r = regions.withColumn("page", layout_page(F.col("page")))
+    match = match_regions(b, r, own).select(*own, "block_id", "region_id")
+    boxes = r.select(*own, "region_id", F.col("bbox").alias("overlay_bbox"))
+    met = b.join(match, [*own, "block_id"], "left").join(boxes, [*own, "region_id"], "left")
+    out = met.select(
+        *key, "block_id", "label", F.coalesce("order", F.col("block_id") + 1).alias("order"), "content", preview(F.col("content")).alias("preview"), "bbox",
+        F.coalesce("overlay_bbox", "bbox").alias("overlay_bbox"), F.when(F.col("region_id").isNotNull(), "region").otherwise("block").alias("overlay_source"), "page", F.coalesce("group", F.lit(0)).alias("group"),
+    )
+    return out.orderBy(*key, "page", "order", "group", "block_id")
+
+
+def box_label(b: Column) -> Column:
+    return F.format_string("x:%.2f y:%.2f w:%.2f h:%.2f", *[b[c].cast("double") for c in ("x", "y", "width", "height")])
+
+
+def block_json(columns: list[str]) -> Column:
+    """A block as JSON of several lines."""
+    return F.to_json(F.struct(*columns), {"pretty": "true"})
+
+
+def region_text(category: Column, text: Column) -> Column:
+    """How a region's text stands in the page's text; null where its category is left out."""
+    # Categories of the layout model.
+    t, c = F.trim(text), g_token(category)
+    shown = (
+        F.when(c == "title", F.concat(F.lit("## "), t)).when(c == "table", F.concat(F.lit("---\n"), t, F.lit("\n---"))).when(c == "footnote", F.concat(F.lit("Note: "), t))
+        .when(c == "code", F.concat(F.lit("```\n"), t, F.lit("\n```"))).when(c.isin("figure", "header", "footer", "abandoned"), None).otherwise(t)
+    )
+    return F.when(t != "", shown)
+
+
+def block_text(label: Column, content: Column) -> Column:
+    """How a block's content stands in the page's text; null for images."""
+    c = F.lower(F.trim(label))
+    return (
+        F.when(c.isin("doc_title", "paragraph_title"), F.concat(F.lit("## "), content)).when(c == "table", F.concat(F.lit("---\n"), content, F.lit("\n---")))
+        .when(c == "image", None).when(c == "vision_footnote", F.concat(F.lit("Note: "), content)).otherwise(content)
+    )
+
+
+def g_token(label: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(label)), r"[\s-]+", "_")
+
+
+def page_text(regions: DataFrame, key: list[str]) -> DataFrame:
+    """Region texts in reading order, a line each; what is empty after ordering takes none."""
+    return merged_text(regions.where("text is not null and text <> ''"), key, ["reading_order"], "text", "\n")
+
+
+def document_text(pages: DataFrame, key: list[str]) -> DataFrame:
+    """Page texts of a document with a rule between them."""
+    return merged_text(pages, key, ["page"], "text", "\n\n---\n\n")
+
+
+def accumulated(pages: DataFrame, key: list[str]) -> DataFrame:
+    """A document's layout from that of its pages: regions and blocks tagged with their page, the largest width and height.
+
+    pages: key, page, width, height, regions array<struct>, blocks array<struct>.
+    """
+    def tagged(column: str) -> Column:
+        return F.transform(column, lambda x: F.struct(F.col("page").alias("page"), x.alias("entry")))
+
+    rows = pages.select(*key, "page", "width", "height", tagged("regions").alias("r"), tagged("blocks").alias("b"))
+    flat = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", c))), lambda x: x[c]))
+    return rows.groupBy(*key).agg(flat("r").alias("regions"), flat("b").alias("blocks"), F.max("width").alias("width"), F.max("height").alias("height"))
+
+
+def recognised(layouts: DataFrame) -> DataFrame:
+    """A layout model's output as that of recognition: its text, and its regions with their boxes and no text of their own."""
+    return layouts.withColumn("regions", F.transform("regions", lambda r: F.struct(F.lit("").alias("text"), r["bbox"].alias("bbox"), r["confidence"].alias("confidence"))))
+
+
+def _per_page(df: DataFrame, key: list[str], name: str, order: Callable[[pd.DataFrame], list[int]]) -> DataFrame:
+    """A whole number for each row of a page; a page bounds what a task holds."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x", "region_id"], kind="stable").reset_index(drop=True)
+        return pdf.assign(**{name: order(pdf)})
+
+    return df.groupBy(*key).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())]))
+
+
+def overlap_columns(regions: DataFrame, key: list[str], least: int = 200) -> DataFrame:
+    """Columns by overlap in x: from the left, each box joins the column that it overlaps most, by ``least`` or its own width; the column grows to hold it.
+
+    Columns are numbered as they open. Rows: key, region_id, x, y, width, height.
+    """
+
+    def order(pdf: pd.DataFrame) -> list[int]:
+        spans: list[list[float]] = []
+        out = [0] * len(pdf)
+        for i in pdf.sort_values(["x", "y", "region_id"], kind="stable").index:
+            a, b = pdf.at[i, "x"], pdf.at[i, "x"] + pdf.at[i, "width"]
+            shared = [min(b, s[1]) - max(a, s[0]) for s in spans]
+            fits = [k for k, n in enumerate(shared) if n >= min(least, b - a) and n > 0]
+            if fits:
+                k = max(fits, key=lambda k: (shared[k], -k))
+                spans[k] = [min(spans[k][0], a), max(spans[k][1], b)]
+            else:
+                k = len(spans)
+                spans.append([a, b])
+            out[i] = k
+        return out
+
+    return _per_page(regions, key, "column", order)
+
+
+def gap_filled_order(regions: DataFrame, key: list[str], apart: int = 15, gap: int = 4, share: float = 0.3, wide: float = 0.6) -> DataFrame:
+    """Reading order of layout regions after small vertical gaps between regions one above the other are closed.
+
+    Columns are the regions whose centres lie within ``apart`` of another of the column; a lone region of ``wide`` of the width joins the column whose mean centre is nearest.
+    Columns go from left to right, regions in them from top to bottom.
+    """
+
+    def order(pdf: pd.DataFrame) -> list[int]:
+        box = pdf[["x", "y", "width", "height"]].to_numpy().tolist()
+        rows = sorted(range(len(box)), key=lambda i: box[i][1])
+        for up, low in zip(rows, rows[1:], strict=False):
+            a, b = box[up], box[low]
+            left, right = max(a[0], b[0]), min(a[0] + a[2], b[0] + b[2])
+            narrow = min(a[2], b[2])
+            bottom = a[1] + a[3]
+            if right <= left or narrow <= 0 or (right - left) / narrow < share or b[1] - bottom < gap:
+                continue
+            middle = (left + right) // 2
+            if abs(a[0] + a[2] // 2 - middle) <= abs(b[0] + b[2] // 2 - middle):
+                a[3] = b[1] - a[1]
+            else:
+                b[3] += b[1] - bottom
+                b[1] = bottom
+        centre = [int(b[0] + b[2] // 2) for b in box]
+        by_centre = sorted(range(len(box)), key=lambda i: centre[i])
+        groups: list[list[int]] = []
+        for i in by_centre:  # centres in a row with no larger step are one column
+            if groups and centre[i] - centre[groups[-1][-1]] <= apart:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        span = max(1, max(b[0] + b[2] for b in box) - min(b[0] for b in box))
+        alone = [c for c in groups if len(c) == 1 and box[c[0]][2] / span >= wide]
+        columns = [c for c in groups if c not in alone] or alone
+        if columns is not alone:
+            for (i,) in alone:
+                mean = lambda c: sum(centre[k] for k in c) // len(c)
+                min(columns, key=lambda c: (abs(centre[i] - mean(c)), mean(c))).append(i)
+        columns.sort(key=lambda c: sum(centre[k] for k in c) // len(c))
+        out = [0] * len(box)
+        for n, i in enumerate(i for c in columns for i in sorted(c, key=lambda i: (box[i][1], i))):
+            out[i] = n
+        return out
+
+    return _per_page(regions, key, "reading_order", order)
+
+
+def grid_columns(regions: DataFrame, key: list[str], near: int = 100) -> DataFrame:
+    """Column numbers over rows: regions within half the median height are a row, from left to right; each joins the column whose running centre is nearest, within ``near``."""
+
+    def order(pdf: pd.DataFrame) -> list[int]:
+        half = int(sorted(pdf["height"])[len(pdf) // 2] * 0.5)
+        rows: list[list[int]] = []
+        for i in pdf.index:
+            row = next((r for r in rows if abs(pdf.at[i, "y"] - pdf.at[r[0], "y"]) <= half), None)
+            rows.append([i]) if row is None else row.append(i)
+        centres: list[int] = []
+        out = [0] * len(pdf)
+        for row in rows:
+            for i in sorted(row, key=lambda i: pdf.at[i, "x"]):
+                c = int(pdf.at[i, "x"] + pdf.at[i, "width"] // 2)
+                k = min(range(len(centres)), key=lambda k: abs(c - centres[k]), default=None)
+                if k is None or abs(c - centres[k]) > near:
+                    k = len(centres)
+                    centres.append(c)
+                else:
+                    centres[k] = (centres[k] + c) // 2
+                out[i] = k
+        return out
+
+    return _per_page(regions, key, "column", order)

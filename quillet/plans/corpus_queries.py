@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -16,25 +13,11 @@ from quillet.operators import pages
 from quillet.operators import relational as rel
 from quillet.operators import search as fts
 from quillet.operators import vectors as vec
+from quillet.plans.registry import ORACLES, QUERIES, query
 from quillet.sources import corpus
 from quillet.sources.corpus import read
 from quillet.streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 _TOK = r"regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}]+')"
 
 
@@ -70,7 +53,7 @@ def fts_search_fallback_switch(spark, sf):
 @query(_bm25(["scum"], "source = 'src3'"))
 def fts_search_scoped(spark, sf):
     # the collection is a filter on scored rows: document frequencies stay global
-    return fts.search(read(spark, sf, "documents"), ["scum"], limit=10**6, carry=("source",)).where("source = 'src3'").orderBy("rank", "doc_id").limit(20)
+    return fts.search(read(spark, sf, "documents"), ["scum"], carry=("source",), scope=F.col("source") == "src3")
 
 
 @query(f"SELECT doc_id, source FROM ({_bm25(['the', 'trash'], limit=50)}) WHERE source IN ('src1', 'src2', 'src3', 'src4') ORDER BY doc_id DESC")
@@ -87,7 +70,7 @@ def fts_tokens_stats(spark, sf):
 
 @query(r"SELECT token, count(*) AS docs, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TOK + r") AS token FROM documents) GROUP BY 1, 2) GROUP BY token")
 def fts_index_terms(spark, sf):
-    return fts.index(read(spark, sf, "documents")).groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("tf"))
+    return fts.index(read(spark, sf, "documents"), positions=False).groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("tf"))
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -278,13 +261,23 @@ def item_primary_asset(spark, sf):
 
 
 _NOTE = """(SELECT o_orderkey AS doc_id, 'En la ciudad de Buenos Aires, a ' || (o_orderkey % 28 + 1) || ' de ' || ['enero','marzo','mayo','julio','octubre','diciembre'][o_orderkey % 6 + 1] || ' de ' || (o_orderkey % 60 + 1800) || ', Don '
-    || ['Manuel Belgrano','Juan Larrea','Mariano Moreno','José de San Martín'][o_orderkey % 4 + 1] || ' fue vocal. El Cabildo de Luján escribió un acta; recibida el ' || strftime(o_orderdate, '%d/%m/%Y') || ' junto al río Paraná.' AS text FROM orders)"""
+    || ['Manuel Belgrano','Juan Larrea','Mariano Moreno','José de San Martín'][o_orderkey % 4 + 1] || ' fue vocal. El Cabildo de Luján escribió un acta; recibida el ' || strftime(o_orderdate, '%d/%m/%Y') || ' junto al río Paraná y la Luna. Legajo 125/05/18100, del 3 de nivoso de 1790; oyó a Fray Luis de León, Sor Ana y al Real Convento Mayor, no a don Luis.' AS text FROM orders)"""
+
+
+_UP, _WORDS = "[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+", "( +[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)*"
+_PATTERNS = (
+    ("person", f"(Don|Doña|Dr\\.?|Fray|Sor|Fr\\.) +{_UP}{_WORDS}"),
+    ("place", f"((ciudad|villa|pueblo|provincia) +de|río|sierra) +{_UP}( +((de|del|la|las|los|y) +)?{_UP})*"),
+    ("date", "\\b[0-9][0-9]? +de +[a-záéíóúñ]+ +de +[0-9][0-9][0-9][0-9]\\b"),
+    ("date", "\\b[0-9][0-9]?/[0-9][0-9]?/[0-9][0-9][0-9][0-9]\\b"),
+    ("institution", f"(Real|Cabildo|Iglesia|Convento|Universidad|Audiencia){_WORDS}"),
+)
 
 
 @query(
     "WITH m AS ("
     + " UNION ALL ".join(
-        f"SELECT doc_id, '{name.split('_')[0]}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS value, text FROM {_NOTE}" for name, p in en.RULES.items()
+        f"SELECT doc_id, '{name}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS value, text FROM {_NOTE}" for name, p in _PATTERNS
     )
     + ') SELECT doc_id, entity_type, value, (strpos(text, value) - 1)::INTEGER AS start, (strpos(text, value) - 1 + length(value))::INTEGER AS "end" FROM m'
 )
@@ -301,7 +294,7 @@ def ner_merge_sources(spark, sf):
 @query("""
     WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, CASE WHEN (l_partkey + l_linenumber) % 4 = 0 THEN 'B-' WHEN (l_partkey + l_linenumber) % 4 = 3 THEN 'O-' ELSE 'I-' END || ['PER','LOC'][l_suppkey % 2 + 1] AS label, l_linenumber * 5 AS start, l_linenumber * 5 + 4 AS "end", l_discount AS score FROM lineitem),
     f AS (SELECT *, substr(label, 3) AS entity_type FROM p WHERE label NOT LIKE 'O-%'),
-    o AS (SELECT *, CASE WHEN label LIKE 'B-%' OR coalesce(lag(entity_type) OVER w <> entity_type, TRUE) THEN 1 ELSE 0 END AS opens FROM f WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount)),
+    o AS (SELECT *, CASE WHEN coalesce(lag(entity_type) OVER w <> entity_type, TRUE) OR (label LIKE 'B-%' AND start > lag("end") OVER w) THEN 1 ELSE 0 END AS opens FROM f WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount)),
     g AS (SELECT *, sum(opens) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount ROWS UNBOUNDED PRECEDING) AS grp FROM o)
     SELECT l_orderkey, min(entity_type) AS entity_type, min(start) AS start, max("end") AS "end", round(avg(score), 6) AS confidence, count(*) AS n FROM g GROUP BY l_orderkey, grp
 """)
@@ -370,9 +363,8 @@ def layout_block_region_match(spark, sf):
 @query("SELECT l_orderkey, count(*) AS everything, count_if(k IN (0, 5))::BIGINT AS titles, count_if(k = 1)::BIGINT AS texts, count_if(k = 2)::BIGINT AS tables, count_if(k IN (3, 4))::BIGINT AS figures FROM (SELECT l_orderkey, l_partkey % 6 AS k FROM lineitem) GROUP BY l_orderkey")
 def layout_filter_counts(spark, sf):
     names = F.array(*[F.lit(x) for x in ("doc_title", "Plain Text", "table", "image", "chart", "Paragraph-Title")])
-    c = read(spark, sf, "lineitem").select("l_orderkey", g.category(F.get(names, (F.col("l_partkey") % 6).cast("int"))).alias("c"))
-    n = lambda k: F.count_if(F.col("c") == k)
-    return c.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("everything"), n("title").alias("titles"), n("text").alias("texts"), n("table").alias("tables"), n("figure").alias("figures"))
+    c = read(spark, sf, "lineitem").select("l_orderkey", F.get(names, (F.col("l_partkey") % 6).cast("int")).alias("label"))
+    return lay.filter_counts(c, ["l_orderkey"]).select("l_orderkey", F.col("all").alias("everything"), "titles", F.col("text").alias("texts"), "tables", "figures")
 
 
 @query()

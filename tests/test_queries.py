@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillet.functions import text as t
 from quillet.operators import entities as en
 from quillet.operators import layout, pages, relational
-from quillet.plans.corpus_queries import ORACLES, QUERIES
+from quillet.plans import ORACLES, QUERIES
 from quillet.sources import corpus
 
 SF = "/root/testdata/sf0.001"
