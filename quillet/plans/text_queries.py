@@ -260,7 +260,7 @@ def ner_names(spark, sf):
     )
 
 
-@query("SELECT p_partkey, 'Ana-' || p_partkey AS value, 2 AS start, 6 + length(p_partkey::VARCHAR)::INTEGER AS stop, 'person' AS entity_type, 0.7::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, 'Real Audiencia', 10 + length(p_partkey::VARCHAR)::INTEGER, 24 + length(p_partkey::VARCHAR)::INTEGER, 'institution', 0.9 FROM part")
+@query("SELECT p_partkey, 'Ana-' || p_partkey AS value, 2 AS start, 6 + length(p_partkey::VARCHAR)::INTEGER AS stop, 'person' AS entity_type, 0.7::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, 'Real Audiencia', 10 + length(p_partkey::VARCHAR)::INTEGER, 25 + length(p_partkey::VARCHAR)::INTEGER, 'institution', 0.9 FROM part")
 def ner_decode_chunks(spark, sf):
     key = F.col("p_partkey").cast("string")
     chunk = F.concat(F.lit("x Ana-"), key, F.lit(" y, Real Audiencia."))
