@@ -62,7 +62,7 @@ def applied(df: DataFrame, make: Callable[[], Callable[..., object]], inputs: li
     """``df`` with ``output`` (of SQL type ``kind``) and ``error`` from a plug-in's function over the columns ``inputs``; a row with a null input has neither."""
 
     @F.pandas_udf(f"value {kind}, error string")
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make()
 
         def one(args: tuple) -> tuple:
@@ -73,11 +73,11 @@ def applied(df: DataFrame, make: Callable[[], Callable[..., object]], inputs: li
             except Exception as e:  # the row's error, whatever the model raised
                 return None, f"{type(e).__name__}: {e}"
 
-        for columns in batches:
-            done = [one(args) for args in zip(*columns, strict=True)]
+        for rows in batches:
+            done = [one(args) for args in rows.itertuples(index=False, name=None)]
             yield pd.DataFrame({"value": [d[0] for d in done], "error": [d[1] for d in done]})
 
-    out = df.withColumn("__out", run(*[F.col(c) for c in inputs]))
+    out = df.withColumn("__out", run(F.struct(*inputs)))
     return out.select(*df.columns, F.col("__out.value").alias(output), F.col("__out.error").alias("error"))
 
 
