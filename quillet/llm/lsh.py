@@ -14,8 +14,8 @@ next one less:
 3. members still outside are compared with each other and with those that step 2 joined to the largest.
 
 Steps 2 and 3 ship bounded chunks of sets against chunks, and compare them in array operations; no pair of units becomes a row
-but a link, of which a unit has at most one with each component. Pairs of chunks, not buckets, are what tasks are dealt by, so a bucket or component
-of a third of all units is spread like any other. No pair of a bucket is left out unless both are connected already.
+but a link, of which a unit has at most one with each component of a chunk. The chunks of one bucket or component meet in one task, which holds one of them at a time.
+No pair of a bucket is left out unless both are connected already.
 """
 
 from __future__ import annotations
@@ -156,25 +156,11 @@ def _crossed(percent: int):
     return run
 
 
-def _chunks(rows: DataFrame, sizes: DataFrame, sets: DataFrame, key: str, each: int, name: str) -> DataFrame:
-    """rows (key, unit, component) to (key, chunk, name): lists of about ``each`` sets and ``ITEMS`` items, whichever is less.
-
-    Numbers alone meet by key, in a join that can be split; sets are then dealt by key and chunk.
-    """
-    sized = rows.select(key, "unit", "component").join(sizes, "unit")
-    many = sized.groupBy(key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / each), F.ceil(F.sum("n") / ITEMS)).alias("many"))
-    dealt = sized.join(many, key).withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("many"))).select(key, "chunk", "unit", "component")
-    held = staged(dealt, "dealt").join(sets, "unit")
-    return staged(held.groupBy(key, "chunk").agg(F.collect_list(F.struct("unit", "component", "items")).alias(name)), "chunks")
-
-
-def _met(left: DataFrame, right: DataFrame, key: str, percent: int, same: bool = False) -> DataFrame:
-    """Links (a, b) between the sets of chunks (key, chunk, x) and (key, chunk, y) of a key; within one table of chunks each pair of them once."""
-    pairs = left.select(key, "chunk").join(right.select(key, F.col("chunk").alias("other")), key)
-    pairs = pairs.where("chunk <= other") if same else pairs
-    pairs = staged(pairs, "chunk-pairs")
-    held = pairs.join(left, [key, "chunk"]).join(right.withColumnRenamed("chunk", "other"), [key, "other"])
-    return held.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct()
+def _chunks(rows: DataFrame, key: str, each: int, name: str) -> DataFrame:
+    """rows (key, unit, component, items) to (key, chunk, name): lists of about ``each`` sets and ``ITEMS`` items, whichever is less."""
+    many = rows.groupBy(key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / each), F.ceil(F.sum(F.size("items").cast("long")) / ITEMS)).alias("many"))
+    dealt = rows.join(many, key).withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("many")))
+    return dealt.groupBy(key, "chunk").agg(F.collect_list(F.struct("unit", "component", "items")).alias(name))
 
 
 def link(keyed: DataFrame, units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
@@ -206,18 +192,21 @@ def link(keyed: DataFrame, units: DataFrame, sets_of: Callable[[DataFrame], Data
     out = staged(out, "outside")
     if not out.limit(1).count():
         return parts.withColumnRenamed("node", "unit")
-    asks = out.select("unit", "component", "hub").distinct()
-    hubs = here.select("unit", "component").distinct().join(out.select(F.col("hub").alias("component")).distinct(), "component", "left_semi").withColumn("hub", F.col("component"))
-    met = _met(_chunks(asks, sizes, sets, "hub", CHUNK // 4, "x"), _chunks(hubs, sizes, sets, "hub", CHUNK, "y"), "hub", percent)
-    parts = extended(parts, staged(met, "links"))
+    named = here.select("unit", "component").distinct().join(sets, "unit")
+    asks = out.select("unit", "component", "hub").distinct().join(sets, "unit")
+    hubs = named.join(out.select(F.col("hub").alias("component")).distinct(), "component", "left_semi").withColumn("hub", F.col("component"))
+    met = _chunks(asks, "hub", CHUNK // 4, "x").drop("chunk").join(_chunks(hubs, "hub", CHUNK, "y").drop("chunk"), "hub")
+    parts = extended(parts, staged(met.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct(), "links"))
 
     again = placed(out.select("key", "unit", F.col("hub")))
     hub_now = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_now"))
     again = again.join(hub_now, "hub", "left").withColumn("joined", F.col("component") == F.coalesce("hub_now", "hub"))
     again = staged(again.select("key", "unit", "component", "joined"), "placed")
     open_ = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    again = staged(again.join(open_, "key"), "again")
-    rest = _chunks(again.where("not joined"), sizes, sets, "key", CHUNK // 2, "x")
-    links = _met(rest, rest.withColumnRenamed("x", "y"), "key", percent, same=True).union(_met(rest, _chunks(again.where("joined"), sizes, sets, "key", CHUNK, "y"), "key", percent))
-    parts = extended(parts, staged(links.distinct(), "links"))
+    again = staged(again.join(open_, "key").join(sets, "unit"), "outside-sets")
+    rest = staged(_chunks(again.where("not joined"), "key", CHUNK // 2, "x"), "outside-chunks")
+    right = rest.select("key", F.col("chunk").alias("other"), F.col("x").alias("y"))
+    pairs = rest.join(right, "key").where("chunk <= other").select("x", "y")
+    pairs = pairs.union(rest.select("key", "x").join(_chunks(again.where("joined"), "key", CHUNK, "y").drop("chunk"), "key").select("x", "y"))
+    parts = extended(parts, staged(pairs.mapInArrow(_crossed(percent), "a long, b long").distinct(), "links"))
     return parts.withColumnRenamed("node", "unit")
