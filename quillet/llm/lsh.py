@@ -14,7 +14,8 @@ next one less:
 3. members still outside are compared with each other and with those that step 2 joined to the largest.
 
 Steps 2 and 3 ship bounded chunks of sets against chunks, and compare them in array operations; no pair of units becomes a row
-but a link, of which a unit has at most one with each component of a chunk. The chunks of one bucket or component meet in one task, which holds one of them at a time.
+but a link, of which a unit has at most one with each component of a chunk. Chunks meet in cells of a few chunks of either side, and cells are what tasks
+are dealt by, so a bucket or component of a third of all units is spread like any other.
 No pair of a bucket is left out unless both are connected already.
 """
 
@@ -25,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.common import staged
@@ -123,6 +124,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 #: Sets in a chunk, and items of all of them; a set larger than that is a chunk nearly alone.
 CHUNK, ITEMS = 64, 1 << 18
+#: Chunks of either side that make a cell.
+CELL = 8
 
 
 def _held(chunk: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,11 +159,34 @@ def _crossed(percent: int):
     return run
 
 
-def _chunks(rows: DataFrame, key: str, each: int, name: str) -> DataFrame:
-    """rows (key, unit, component, items) to (key, chunk, name): lists of about ``each`` sets and ``ITEMS`` items, whichever is less."""
-    many = rows.groupBy(key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / each), F.ceil(F.sum(F.size("items").cast("long")) / ITEMS)).alias("many"))
-    dealt = rows.join(many, key).withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("many")))
-    return dealt.groupBy(key, "chunk").agg(F.collect_list(F.struct("unit", "component", "items")).alias(name))
+def _dealt(rows: DataFrame, sizes: DataFrame, key: str, each: int) -> DataFrame:
+    """rows (key, unit, component) with a chunk for each, of the ``many`` of its key: about ``each`` sets and ``ITEMS`` items, whichever is less.
+
+    Only numbers meet by key here, in a join that can be split or broadcast.
+    """
+    sized = rows.select(key, "unit", "component").join(sizes, "unit")
+    many = sized.groupBy(key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / each), F.ceil(F.sum("n") / ITEMS)).alias("many"))
+    return staged(sized.join(many, key).select(key, "unit", "component", "many", F.pmod(F.xxhash64("unit"), "many").alias("chunk")), "dealt")
+
+
+def _met(left: DataFrame, right: DataFrame, sets: DataFrame, key: str, percent: int, same: bool = False) -> DataFrame:
+    """Links (a, b) between two dealt tables' sets of one key; ``same``: both are one table, whose pairs of chunks meet once.
+
+    The chunks of a key are cut into strips of ``CELL``, and a strip of either side makes a cell (i, j). Sets are sent to the
+    cells of their strip, so a task has bounded cells of a key, never all of it, and a key of one strip is sent once.
+    """
+    strips = lambda side: side.groupBy(key).agg(F.ceil(F.first("many") / CELL).alias("strips"))
+    own, all_ = F.floor(F.col("chunk") / CELL), F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1))
+
+    def held(side: DataFrame, other: DataFrame, i: Column, j: Column, name: str) -> DataFrame:
+        cells = side.join(strips(other), key).select(key, "unit", "component", "chunk", i.alias("i"), j.alias("j"))
+        cells = cells.where("i <= j") if same else cells
+        rows = cells.join(sets, "unit").repartition(key, "i", "j")
+        return rows.groupBy(key, "i", "j", "chunk").agg(F.collect_list(F.struct("unit", "component", "items")).alias(name))
+
+    met = held(left, right, own, all_, "x").join(held(right, left, all_, own, "y").withColumnRenamed("chunk", "other"), [key, "i", "j"])
+    met = met.where("chunk <= other") if same else met
+    return met.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct()
 
 
 def link(keyed: DataFrame, units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
@@ -192,21 +218,18 @@ def link(keyed: DataFrame, units: DataFrame, sets_of: Callable[[DataFrame], Data
     out = staged(out, "outside")
     if not out.limit(1).count():
         return parts.withColumnRenamed("node", "unit")
-    named = here.select("unit", "component").distinct().join(sets, "unit")
-    asks = out.select("unit", "component", "hub").distinct().join(sets, "unit")
-    hubs = named.join(out.select(F.col("hub").alias("component")).distinct(), "component", "left_semi").withColumn("hub", F.col("component"))
-    met = _chunks(asks, "hub", CHUNK // 4, "x").drop("chunk").join(_chunks(hubs, "hub", CHUNK, "y").drop("chunk"), "hub")
-    parts = extended(parts, staged(met.select("x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct(), "links"))
+    asks = out.select("unit", "component", "hub").distinct()
+    hubs = here.select("unit", "component").distinct().join(out.select(F.col("hub").alias("component")).distinct(), "component", "left_semi").withColumn("hub", F.col("component"))
+    met = _met(_dealt(asks, sizes, "hub", CHUNK // 4), _dealt(hubs, sizes, "hub", CHUNK), sets, "hub", percent)
+    parts = extended(parts, staged(met, "links"))
 
     again = placed(out.select("key", "unit", F.col("hub")))
     hub_now = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_now"))
     again = again.join(hub_now, "hub", "left").withColumn("joined", F.col("component") == F.coalesce("hub_now", "hub"))
     again = staged(again.select("key", "unit", "component", "joined"), "placed")
     open_ = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    again = staged(again.join(open_, "key").join(sets, "unit"), "outside-sets")
-    rest = staged(_chunks(again.where("not joined"), "key", CHUNK // 2, "x"), "outside-chunks")
-    right = rest.select("key", F.col("chunk").alias("other"), F.col("x").alias("y"))
-    pairs = rest.join(right, "key").where("chunk <= other").select("x", "y")
-    pairs = pairs.union(rest.select("key", "x").join(_chunks(again.where("joined"), "key", CHUNK, "y").drop("chunk"), "key").select("x", "y"))
-    parts = extended(parts, staged(pairs.mapInArrow(_crossed(percent), "a long, b long").distinct(), "links"))
+    again = staged(again.join(open_, "key"), "outside")
+    rest = _dealt(again.where("not joined"), sizes, "key", CHUNK // 2)
+    links = _met(rest, rest, sets, "key", percent, same=True).union(_met(rest, _dealt(again.where("joined"), sizes, "key", CHUNK), sets, "key", percent))
+    parts = extended(parts, staged(links.distinct(), "links"))
     return parts.withColumnRenamed("node", "unit")

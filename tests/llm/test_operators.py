@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillet.llm import exact_dedup, langid, mixing, near_dedup, packing, paragraphs, quality, queries, secret_scan, token_counts, topk
+from quillet.llm import exact_dedup, langid, lsh, mixing, near_dedup, packing, paragraphs, quality, queries, secret_scan, token_counts, topk
 from quillet.llm.common import new_path
 from quillet.llm.lsh import link
 from quillet.llm.places import Places
@@ -179,7 +179,10 @@ def test_near_dedup(docs, data):
     assert near_dedup.keep_one(docs, words=2).columns == docs.columns
 
 
-def test_link_follows_chains_inside_a_bucket(spark):
+@pytest.mark.parametrize("chunk,cell", [(64, 8), (8, 2)])
+def test_link_follows_chains_inside_a_bucket(spark, monkeypatch, chunk, cell):
+    monkeypatch.setattr(lsh, "CHUNK", chunk)  # small ones cut a bucket into many cells
+    monkeypatch.setattr(lsh, "CELL", cell)
     first = list(range(100))
     chains = []
     for c in range(60):
