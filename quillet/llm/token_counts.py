@@ -3,8 +3,8 @@
 A flat token file is a stream of ids in which an end-of-document id closes each document; it has no index. Here a stream is stored as
 fixed-size blocks (file, block, data), so that any number of tasks scan one file. Each block is searched for the
 separator in one vectorised comparison; what it gives is the number of separators, the ids before the first and after the last, and the lengths of
-the documents that lie inside. A prefix scan over a file's block summaries (one small row a block) then says which document each block begins
-in and how many ids of it came before, and only documents that cross a block's edge are stitched, by summing their parts.
+the documents that lie inside. A prefix scan in two levels (over the sums of runs of blocks, one small row a run, and inside each run by itself,
+so one large file uses many tasks) then says which document each block begins in and how many ids of it came before, and only documents that cross a block's edge are stitched, by summing their parts.
 
 Defined results: null and empty texts are documents of no token; special strings in a text are ordinary text, so no separator
 can occur inside a document; repeated rows are separate documents; ids after the last separator of a file belong to an unfinished document, reported
@@ -27,6 +27,8 @@ from quillet.llm.tokens import encoder
 
 #: Ids in a block.
 BLOCK = 1 << 16
+#: Blocks in a run; the prefix scan goes over runs, by their sums, and inside each run by itself.
+RUN = 256
 
 
 def _write(path: str, end_id: int, block: int):
@@ -109,8 +111,12 @@ def _scan(end_id: int):
 def count_tokens(blocks: DataFrame, end_id: int) -> DataFrame:
     """(file, ordinal, tokens, closed): the length of each document, the separator not counted."""
     found = staged(blocks.mapInArrow(_scan(end_id), "file long, block long, ends long, head long, tail long, inner array<long>"), "scanned")
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    placed = found.withColumn("first", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    cut = found.withColumn("run", F.floor(F.col("block") / RUN))
+    sums = cut.groupBy("file", "run").agg(F.sum("ends").alias("ends"))
+    earlier = lambda w: F.coalesce(F.sum("ends").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ahead = sums.select("file", "run", earlier(W.partitionBy("file").orderBy("run")).alias("ahead"))
+    within = cut.withColumn("first", earlier(W.partitionBy("file", "run").orderBy("block")))
+    placed = within.join(ahead, ["file", "run"]).withColumn("first", F.col("first") + F.col("ahead")).drop("run", "ahead")
     inside = placed.where("ends > 1").select("file", F.posexplode("inner").alias("k", "tokens"), "first").select("file", (F.col("first") + 1 + F.col("k")).alias("ordinal"), "tokens", F.lit(True).alias("closed"))
     heads = placed.select("file", F.col("first").alias("ordinal"), F.col("head").alias("tokens"), (F.col("ends") > 0).alias("closed"))
     tails = placed.where("ends > 0 and tail > 0").select("file", (F.col("first") + F.col("ends")).alias("ordinal"), F.col("tail").alias("tokens"), F.lit(False).alias("closed"))
