@@ -71,9 +71,10 @@ def _linked(placed: Places, words: int, percent: int, bands: int, rows: int) ->
         return texts.mapInArrow(_sets(words), "same binary, items array<long>").join(chosen.select("same", "unit"), "same").select("unit", "items")
 
     parts = link(units.select("unit", "keys"), units.select("unit", "n"), sets_of, percent)
+    first = staged(units.select("unit", "head").join(parts, "unit").groupBy("component").agg(F.min("head").alias("first")), "firsts")
     named = units.select("same", "unit", "head").join(parts, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    first = named.groupBy("component").agg(F.min("head").alias("head"))
-    return signed.drop("keys"), staged(named.select("same", "component").join(first, "component").select("same", "head"), "named")
+    named = named.join(first, "component", "left").select("same", F.coalesce("first", "head").alias("head"))  # plain rows by component: a large one can be split
+    return signed.drop("keys"), staged(named, "named")
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
