@@ -171,6 +171,7 @@ def _similar(placed: Places, marked: DataFrame, words: int, percent: int) -> Dat
     parts = link(keyed, units.select("unit", "n"), sets_of, percent)
     named = units.select("same", "unit", "many", "first").join(parts, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     heads = named.groupBy("component").agg(F.min("first").alias("head"), F.sum("many").alias("cluster_size")).where("cluster_size > 1")
+    heads = staged(heads, "paragraph-heads")  # a join of plain rows can split a large component
     named = staged(named.select("same", "component").join(heads, "component").select("same", "head", "cluster_size"), "paragraph-named")
     rows = each.select("doc_id", "file", "at", "paragraph", "start", "length", "unit", "same").join(named, "same")
     removed = F.col("unit") != F.col("head.unit")
