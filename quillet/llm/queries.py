@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import exact_dedup, langid, mixing, near_dedup, packing, paragraphs, quality, secret_scan, token_counts, topk
+from quillet.llm import exact_dedup, langid, mixing, near_dedup, packing, paragraphs, quality, resampling, secret_scan, token_counts, topk
 from quillet.llm.common import new_path, table
 
 
@@ -68,6 +68,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_near_dedup": op9_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
+        "op13_resampling": op13_resampling,
     }
 
 
@@ -112,4 +118,21 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             WINDOW w AS (PARTITION BY text_sha256)
         """,
+        "op13_resampling": r"""
+            WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), i)) AS t),
+            d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+            q AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+            f AS (SELECT n, unnest(w) AS w FROM d),
+            words AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM f UNION SELECT w FROM q)),
+            h AS (SELECT w, xor(list_reduce(list_transform(range(0, len(x), 2), lambda i: CAST('0x' || substr(x, CAST(i AS INTEGER) + 1, 2) AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS k FROM words, tab),
+            s AS (SELECT k, count(*) AS c FROM f JOIN h USING (w) GROUP BY k),
+            t AS (SELECT k, count(*) AS c FROM q JOIN h USING (w) GROUP BY k),
+            g AS (SELECT b.k, CAST(floor(1000 * ln((coalesce(t.c, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM f) + 10000.0::DOUBLE) / ((coalesce(s.c, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM q) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+                  FROM (SELECT unnest(range(10000)) AS k) b LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+            m AS (SELECT n, count(*) AS c, sum(gain) AS total FROM f JOIN h USING (w) JOIN g USING (k) GROUP BY n),
+            v AS (SELECT doc_id, d.n, coalesce(m.c, 0) AS n_features, CAST(floor(coalesce(total, 0) / coalesce(m.c, 1)) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (n)),
+            z AS (SELECT doc_id, n, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM v),
+            r AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS many FROM z WHERE n_features >= 20)
+            SELECT doc_id, n_features, weight, score, CASE WHEN rank <= many * 10 // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (n)
+        """,
     }
