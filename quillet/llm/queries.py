@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import exact_dedup, langid, mixing, near_dedup, packing, paragraphs, quality, resampling, secret_scan, token_counts, topk
+from quillet.llm import exact_dedup, langid, mixing, near_dedup, packing, paragraphs, quality, resampling, secret_scan, token_counts, topk, wand
 from quillet.llm.common import new_path, table
 
 
@@ -68,6 +68,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_near_dedup": op9_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
+        "op12_ranked_search": op12_ranked_search,
         "op13_resampling": op13_resampling,
     }
 
@@ -118,6 +123,18 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             WINDOW w AS (PARTITION BY text_sha256)
         """,
+        "op12_ranked_search": r"""
+            WITH d AS (SELECT row_number() OVER () AS n, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+            q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+            len AS (SELECT n, doc_id, count(*) AS size FROM d GROUP BY 1, 2),
+            a AS (SELECT count(*) AS docs, CAST(sum(size) AS BIGINT) AS total FROM len),
+            m AS (SELECT n, doc_id, 25 + (75 * size * docs) // total AS m FROM len, a),
+            tf AS (SELECT n, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+            w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tf, a GROUP BY term, docs),
+            s AS (SELECT item_id, n, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (n) GROUP BY 1, 2, 3)
+            SELECT item_id, CAST(row_number() OVER v AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+            WINDOW v AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 10
+        """,
         "op13_resampling": r"""
             WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), i)) AS t),
             d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
