@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import exact_dedup, langid, mixing, near_dedup, packing, paragraphs, quality, resampling, secret_scan, token_counts, topk, wand
+from quillet.llm import exact_dedup, langid, mixing, near_dedup, packing, paragraphs, quality, resampling, secret_scan, token_counts, topk, toxicity, wand
 from quillet.llm.common import new_path, table
 
 
@@ -68,6 +68,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = toxicity.ToxicityModel.train(docs.where(~out), table(spark, sf_dir, "labels").where(~out).select("doc_id", "toxic"))
+    found = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return model.score(docs).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), found.alias("spans"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wand.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_near_dedup": op9_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_toxicity": op11_toxicity,
         "op12_ranked_search": op12_ranked_search,
         "op13_resampling": op13_resampling,
     }
