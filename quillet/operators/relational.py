@@ -46,10 +46,10 @@ def any_column_like(df: DataFrame, part: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str]) -> DataFrame:
-    """``new`` over ``old`` by key; columns in ``keep`` stay as they were where the key existed."""
-    a, b = old.alias("o"), new.alias("n")
+    """``new`` over ``old`` by key; columns in ``keep`` stay as they were where the key existed. Null keys equal none."""
+    a, b = old.withColumn("__is", F.lit(True)).alias("o"), new.withColumn("__is", F.lit(True)).alias("n")
     both = a.join(b, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    was, comes = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
+    was, comes = F.col("o.__is").isNotNull(), F.col("n.__is").isNotNull()
     pick = lambda c: F.when(was & (~comes | F.lit(c in keep)), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
     return both.select(*[pick(c).alias(c) for c in old.columns])
 

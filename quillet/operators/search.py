@@ -52,7 +52,7 @@ def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     docs.select(key, F.size(tokens(F.col(text))).cast("long").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
-def _ranked(hits: DataFrame, facts: DataFrame, n: int, key: str, carry: tuple[str, ...], relaxed: bool, scope: Column | None, limit: int | None) -> DataFrame:
+def ranked(hits: DataFrame, facts: DataFrame, n: int, key: str, carry: tuple[str, ...], relaxed: bool, scope: Column | None, limit: int | None) -> DataFrame:
     """Rows of (key, carry..., __len, __tf) with the corpus figures, ranked."""
     each = range(n)
     full = F.forall("__tf", lambda x: x > 0)
@@ -74,7 +74,7 @@ def _ranked(hits: DataFrame, facts: DataFrame, n: int, key: str, carry: tuple[st
     return found if limit is None else found.orderBy("rank", key).limit(limit)
 
 
-def _nothing(docs: DataFrame, key: str, carry: tuple[str, ...]) -> DataFrame:
+def nothing(docs: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(key, *carry, F.lit(0.0).alias("rank"), F.lit("empty").alias("strategy")).where(F.lit(False))
 
 
@@ -82,7 +82,7 @@ def search(docs: DataFrame, terms: list[str], limit: int | None = 20, key: str =
     """(key, carry..., rank, strategy), best (most negative) first. ``scope`` filters before the limit; document frequencies stay global."""
     asked = phrases(docs.sparkSession, terms)
     if not asked:
-        return _nothing(docs, key, carry)
+        return nothing(docs, key, carry)
     folded = docs.select(key, *carry, fold(F.coalesce(F.col(text), F.lit(""))).alias("__f"))
     # a text's length is the number of places where a run of letters and digits starts: counted, not cut
     length = F.regexp_count("__f", F.lit(r"[\p{L}\p{N}]+"))
@@ -95,7 +95,7 @@ def search(docs: DataFrame, terms: list[str], limit: int | None = 20, key: str =
     facts = counted.agg(
         F.count(F.lit(1)).alias("__n"), F.sum("__len").alias("__total"), F.array(*[F.count_if(F.col("__tf")[i] > 0) for i in range(len(asked))]).alias("__df"), F.count_if(F.forall("__tf", lambda x: x > 0)).alias("__full")
     )
-    return _ranked(counted.where(F.exists("__tf", lambda x: x > 0)), facts, len(asked), key, carry, relaxed, scope, limit)
+    return ranked(counted.where(F.exists("__tf", lambda x: x > 0)), facts, len(asked), key, carry, relaxed, scope, limit)
 
 
 def stored_search(spark: SparkSession, path: str, terms: list[str], limit: int | None = 20, key: str = "doc_id", relaxed: bool = True) -> DataFrame:
@@ -103,7 +103,7 @@ def stored_search(spark: SparkSession, path: str, terms: list[str], limit: int |
     asked = phrases(spark, terms)
     lengths = spark.read.parquet(f"{path}/lengths")
     if not asked:
-        return _nothing(lengths, key, ())
+        return nothing(lengths, key, ())
     wanted = list(dict.fromkeys(t for p in asked for t in p))
     places = {r["t"]: r["p"] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(PARTS)).alias("p")).collect()}  # a query's tokens
     rows = spark.read.parquet(f"{path}/tokens").where(F.col("part").isin(*set(places.values())) & F.col("token").isin(*wanted))
@@ -116,7 +116,7 @@ def stored_search(spark: SparkSession, path: str, terms: list[str], limit: int |
     hits = by.select(key, F.array(*[count(p) for p in asked]).alias("__tf")).where(F.exists("__tf", lambda x: x > 0)).join(lengths.withColumnRenamed("len", "__len"), key)
     figures = lengths.agg(F.count(F.lit(1)).alias("__n"), F.sum("len").alias("__total"))
     df = hits.agg(F.array(*[F.count_if(F.col("__tf")[i] > 0) for i in range(len(asked))]).alias("__df"), F.count_if(F.forall("__tf", lambda x: x > 0)).alias("__full"))
-    return _ranked(hits, figures.join(F.broadcast(df)), len(asked), key, (), relaxed, None, limit)
+    return ranked(hits, figures.join(F.broadcast(df)), len(asked), key, (), relaxed, None, limit)
 
 
 def _listed(spark: SparkSession, terms_of, query: str) -> list[str]:
