@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from quillet.functions.arrays import let
-from quillet.functions.text import sanitized
-from quillet.operators.entities import KEYWORDS, dedup_document, matches, merge_sources
+from quillet.functions.text import normalize_value, sanitized
+from quillet.operators.entities import KEYWORDS, close, dedup_document, family, folded, letters, matches, merge_sources, overlap
 
 # Labels where a model names none, label and alias names of entity types, thresholds.
 LABELS = ["B-LOC", "B-MISC", "B-ORG", "B-PER", "I-LOC", "I-MISC", "I-ORG", "I-PER", "O"]
@@ -223,29 +223,22 @@ def decode(chunks: pd.Series, pieces: pd.Series) -> pd.Series:
     return pd.Series([decoded(c or "", list(p) if p is not None else []) for c, p in zip(chunks, pieces, strict=True)])
 
 
+def surface(value: Column) -> Column:
+    """``surface_score`` as an expression."""
+    score = letters(value) + F.when(F.contains(value, F.lit("[UNK]")), 0).otherwise(50) + F.when(F.contains(value, F.lit(" ")), 10).otherwise(0) + F.when(value.rlike(r"[\p{L}\p{N}]\z"), 5).otherwise(0)
+    return F.when((F.coalesce(value, F.lit("")) == "") | value.rlike("�|Ã|Â|â€"), 0).otherwise(score)
+
+
 def consolidated(entities: DataFrame, key: str) -> DataFrame:
-    """A fold in order of (start, end) inside one document: of neighbours of one family that overlap, or of which one value holds the other within 24 characters, the fuller one stays."""
-
-    def full(e) -> int:
-        return surface_score(e.value) + e.end - e.start + 5 * (e.confidence >= 0.9)
-
-    norm = lambda v: " ".join(sanitized(v).split()).lower()
-    kind = lambda e: "organization" if e.entity_type == "institution" else e.entity_type
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for e in pdf.sort_values(["start", "end", "value"], kind="stable").itertuples(index=False):
-            if kept and kind(kept[-1]) == kind(e):
-                a, b = kept[-1], e
-                near = abs(a.start - b.start) <= 24 or abs(a.end - b.end) <= 24
-                x, y = norm(a.value), norm(b.value)
-                if (a.start < b.end and b.start < a.end) or (near and (x in y or y in x)):
-                    kept[-1] = b if full(b) > full(a) else a
-                    continue
-            kept.append(e)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return entities.groupBy(key).applyInPandas(one, entities.schema)
+    """A fold in order of (start, end, value) inside one document: of neighbours of one family that overlap, or of which one value holds the other within 24 characters, the fuller one stays."""
+    full = surface(F.col("value")) + F.col("end") - F.col("start") + F.when(F.col("confidence") >= 0.9, 5).otherwise(0)
+
+    def related(a: Column, b: Column) -> Column:
+        at = close(a, b, 24)
+        return (a["__g"] == b["__g"]) & (overlap(a, b) | ((at[0] | at[1]) & (F.contains(a["__n"], b["__n"]) | F.contains(b["__n"], a["__n"]))))
+
+    derived = {"__g": family(F.col("entity_type")), "__n": normalize_value(F.col("value")), "__q": full}
+    return folded(entities, key, ["start", "end", "value"], derived, related, lambda a, b: b["__q"] > a["__q"])
 
 
 def routed(entities: DataFrame, key: str) -> DataFrame:

@@ -1,16 +1,22 @@
-"""Rule-based entities with character offsets, merging of sources, BIO decoding, regular-expression triples."""
+"""Rule-based entities with character offsets, merging of sources, BIO decoding, regular-expression triples.
+
+Merging and deduplication are folds in order over the sorted entities of one document, as expressions: a group is a document's entities, and no
+Python runs. The rules' matches are found by one vectorised scan.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from quillet.functions.arrays import let, running
-from quillet.functions.text import sanitize_value, sanitized
+from quillet.functions.text import normalize_value, sanitize_value, sanitized
 
 # The patterns of the rules, in Java's notation with Unicode classes for blanks and word ends.
 _CAP = "[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+"
@@ -40,27 +46,57 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), found)
 
 
-def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, entity_type, value, start, end) by all rules; offsets are those of the whole match, values are sanitised."""
-    def typed(name: str) -> Callable[[Column], Column]:
-        return lambda m: F.struct(F.lit(name.split("_")[0]).alias("entity_type"), m["value"].alias("value"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"))
+_FOUND = T.ArrayType(T.StructType([T.StructField("entity_type", T.StringType()), T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.pandas_udf(_FOUND)
+def rule_matches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Matches of all rules in a text by start, then in the order of the rules; values sanitised, those that vanish left out."""
+    rules = [(name.split("_")[0], re.compile(p.removeprefix("(?U)"))) for name, p in RULES.items()]
 
-    spans = [F.transform(matches(F.col(text), p), typed(name)) for name, p in RULES.items()]
-    found = F.flatten(F.filter(F.array(*spans), lambda a: a.isNotNull()))
-    rows = docs.select(key, F.explode(found).alias("e")).select(key, "e.*")
-    return rows.withColumn("value", sanitize_value(F.col("value"))).where("value <> ''")
+    def one(text: str | None) -> list[dict]:
+        out = [(m.start(), m.end(), kind, sanitized(m.group())) for kind, p in rules for m in p.finditer(text or "")]
+        out.sort(key=lambda m: m[0])
+        return [{"entity_type": kind, "value": value, "start": start, "end": end} for start, end, kind, value in out if value]
+
+    for part in texts:
+        yield part.map(one, na_action=None)
+
+
+def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, place, entity_type, value, start, end, confidence, source) by all rules, in order of start; offsets are those of the whole match."""
+    rows = docs.select(key, F.posexplode(rule_matches(F.col(text))).alias("place", "e")).select(key, "place", "e.*")
+    return rows.withColumns({"confidence": F.lit(1.0), "source": F.lit("rule_based")})
 
 
 def family(entity_type: Column) -> Column:
     return F.when(entity_type == "institution", "organization").otherwise(entity_type)
 
 
+#: Characters of a cell that spans are dealt into.
+CELL = 64
+
+
+def _celled(spans: DataFrame) -> DataFrame:
+    """A row for each cell that a span touches; spans without offsets touch none."""
+    cell = lambda x: F.floor(x / CELL)
+    last = F.greatest("start", F.col("end") - 1)
+    return spans.withColumn("cell", F.explode(F.sequence(cell(F.least("start", last)), cell(last))))
+
+
 def unprotected(candidates: DataFrame, protected: DataFrame) -> DataFrame:
-    """Candidates above the confidence gate that no manual entity of the item and family equals or overlaps."""
-    p = protected.select(F.col("item_id").alias("pi"), family(F.col("entity_type")).alias("pf"), F.lower("value").alias("pv"), F.col("start").alias("ps"), F.col("end").alias("pe"))
-    c = candidates.where("confidence > 0.89")
-    near = (F.lower("value") == F.col("pv")) | ((F.col("start") < F.col("pe")) & (F.col("ps") < F.col("end")))
-    return c.join(p, (F.col("item_id") == F.col("pi")) & (family(F.col("entity_type")) == F.col("pf")) & near, "left_anti")
+    """Candidates above the confidence gate that no manual entity of the item and family equals or overlaps.
+
+    Equal values meet by a hash join. Spans are dealt into cells of ``CELL`` characters and meet where they share one, so
+    an item's entities meet their neighbours only, however many it has.
+    """
+    c = candidates.where("confidence > 0.89").withColumns({"__f": family(F.col("entity_type")), "__v": F.lower("value")})
+    p = protected.select("item_id", family(F.col("entity_type")).alias("__f"), F.lower("value").alias("__v"), "start", "end")
+    spot = ["item_id", "__f", "start", "end"]
+    left = _celled(c.select(*spot).distinct())
+    right = _celled(p.select(*spot).distinct()).select("item_id", "__f", "cell", F.col("start").alias("ps"), F.col("end").alias("pe"))
+    met = left.join(right, ["item_id", "__f", "cell"]).where("start < pe and ps < end").select(*spot).distinct()
+    return c.join(p.select("item_id", "__f", "__v").distinct(), ["item_id", "__f", "__v"], "left_anti").join(met, spot, "left_anti").select(*candidates.columns)
 
 
 # Ranks of sources and types.
@@ -68,59 +104,69 @@ _SOURCE = {"rule_based": 1, "onnx": 2, "spacy": 3, "llm": 4}
 _TYPE = {"institution": 5, "date": 4, "person": 3, "place": 3, "organization": 2}
 
 
-def _group(e) -> str:
-    return "organization" if e.entity_type == "institution" else e.entity_type
+_CORE = ("person", "place", "organization", "institution")
 
 
-def _norm(value: str) -> str:
-    return " ".join(sanitized(value).split()).lower()
+def ranked_by(value: Column, ranks: dict[str, int], other: int) -> Column:
+    out = F.lit(other)
+    for name, rank in ranks.items():
+        out = F.when(value == name, rank).otherwise(out)
+    return out
 
 
-_CORE = ("person", "place", "organization", "institution")
+def overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def _preferred(a, b):
-    """The winner of two related entities, ``a`` the earlier one, which stays where nothing tells them apart."""
-
-    def first(holds) -> object | None:
-        return a if holds(a, b) else b if holds(b, a) else None
-
-    rules = (
-        lambda x, y: x.source == "rule_based" and x.entity_type == "date",
-        lambda x, y: x.source == "onnx" and x.entity_type in _CORE and y.source not in ("onnx", "spacy") and _group(x) == _group(y) and x.confidence >= y.confidence + 0.05,
-        lambda x, y: x.source == "rule_based" and x.entity_type == "institution" and _group(y) == "organization",
-        lambda x, y: _TYPE.get(x.entity_type, 1) > _TYPE.get(y.entity_type, 1),
-        lambda x, y: x.end - x.start > y.end - y.start and x.confidence >= y.confidence,
-        lambda x, y: x.confidence > y.confidence,
-    )
-    for rule in rules:
-        found = first(rule)
-        if found is not None:
-            return found
-    return b if _SOURCE.get(b.source, 9) > _SOURCE.get(a.source, 9) else a
-
-
-def _folded(pdf: pd.DataFrame, related: Callable, pick: Callable) -> pd.DataFrame:
-    kept: list = []
-    pdf = pdf.assign(__r=pdf["source"].map(_SOURCE).fillna(9)).sort_values(["start", "end", "__r", "value"], kind="stable").drop(columns="__r")
-    for e in pdf.itertuples(index=False):
-        if kept and related(kept[-1], e):
-            kept[-1] = pick(kept[-1], e)
+def close(a: Column, b: Column, start: int, end: int | None = None) -> tuple[Column, Column]:
+    """Whether two spans start, and end, within so many characters."""
+    return F.abs(a["start"] - b["start"]) <= start, F.abs(a["end"] - b["end"]) <= (start if end is None else end)
+
+
+def folded(entities: DataFrame, key: str, order: list[str], derived: dict[str, Column], related: Callable[[Column, Column], Column], better: Callable[[Column, Column], Column], last_only: bool = True) -> DataFrame:
+    """A fold over the entities of each ``key`` in order of ``order``, then of the other columns: each meets the last kept one, or the first kept
+    one that it is related to; of two related ones the earlier stays unless the later is better. ``derived`` columns are worked out once and are gone afterwards.
+    """
+    rest = [c for c in entities.columns if c != key]
+    rows = entities.withColumns(derived)
+    names = list(dict.fromkeys([*order, *rest, *derived]))
+    arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("e"))
+    kind = arrays.schema["e"].dataType.simpleString()
+
+    def step(kept: Column, e: Column) -> Column:
+        meets = lambda k: F.coalesce(related(k, e), F.lit(False))
+        if last_only:
+            at = F.when(meets(F.get(kept, F.size(kept) - 1)), F.size(kept)).otherwise(0)
         else:
-            kept.append(e)
-    return pd.DataFrame(kept, columns=pdf.columns)
+            at = F.array_position(F.transform(kept, meets), True).cast("int")
+        instead = lambda i: F.concat(F.slice(kept, F.lit(1), i - 1), F.array(e), F.slice(kept, i + 1, F.size(kept)))
+        return let(at, lambda i: F.when(i == 0, F.concat(kept, F.array(e))).when(better(F.get(kept, i - 1), e), instead(i)).otherwise(kept))
+
+    out = F.aggregate(F.col("e").cast(kind), F.array().cast(kind), step)
+    return arrays.select(key, F.inline(out)).select(*entities.columns)
 
 
 def merge_sources(entities: DataFrame, key: str) -> DataFrame:
-    """A fold in order of (start, end, source) inside one document: each entity meets the last kept one; overlapping or nearly equal ones leave the preferred."""
+    """Each entity meets the last kept one in order of (start, end, source, value); overlapping or nearly equal ones leave the preferred."""
+    derived = {"__r": ranked_by(F.col("source"), _SOURCE, 9), "__t": ranked_by(F.col("entity_type"), _TYPE, 1), "__g": family(F.col("entity_type")), "__n": normalize_value(F.col("value")), "__s": F.coalesce("source", F.lit(""))}
+
+    def related(a: Column, b: Column) -> Column:
+        near = close(a, b, 2)
+        return overlap(a, b) | ((a["__n"] == b["__n"]) & ((near[0] & near[1]) | (a["entity_type"] == b["entity_type"])))
 
-    def related(a, b) -> bool:
-        if a.start < b.end and b.start < a.end:
-            return True
-        same = _norm(a.value) == _norm(b.value)
-        return same and ((abs(a.start - b.start) <= 2 and abs(a.end - b.end) <= 2) or a.entity_type == b.entity_type)
+    def better(a: Column, b: Column) -> Column:
+        dated = lambda x: (x["__s"] == "rule_based") & (x["entity_type"] == "date")
+        sure = lambda x, y: (x["__s"] == "onnx") & x["entity_type"].isin(*_CORE) & ~y["__s"].isin("onnx", "spacy") & (x["__g"] == y["__g"]) & (x["confidence"] >= y["confidence"] + 0.05)
+        founded = lambda x, y: (x["__s"] == "rule_based") & (x["entity_type"] == "institution") & (y["__g"] == "organization")
+        long = lambda x: x["end"] - x["start"]
+        fuller = lambda x, y: (long(x) > long(y)) & (x["confidence"] >= y["confidence"])
+        return (
+            F.when(dated(a), False).when(dated(b), True).when(sure(b, a), True).when(sure(a, b), False).when(founded(a, b), False).when(founded(b, a), True)
+            .when(a["__t"] != b["__t"], b["__t"] > a["__t"]).when(fuller(b, a), True).when(fuller(a, b), False).when(a["confidence"] != b["confidence"], b["confidence"] > a["confidence"])
+            .otherwise(b["__r"] > a["__r"])
+        )
 
-    return entities.groupBy(key).applyInPandas(lambda pdf: _folded(pdf, related, _preferred), entities.schema)
+    return folded(entities, key, ["start", "end", "__r", "value"], derived, related, better)
 
 
 def bio_spans(pieces: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -151,34 +197,28 @@ def distinct_triples(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 
 
+def letters(value: Column) -> Column:
+    """How many letters and digits a value has."""
+    return F.regexp_count(value, F.lit(r"[\p{L}\p{N}]"))
+
+
 def dedup_document(entities: DataFrame, key: str, near: int = 8) -> DataFrame:
-    """A fold in order of (start, end) that compares each entity with all kept ones of its family, not with the last alone.
+    """Each entity, its value sanitised, meets all kept ones of its family in order of (start, end, value, source), not the last alone.
 
     The first kept one that overlaps, has an equal or prefix value within ``near`` at both ends, or the same value anywhere absorbs it;
     the fuller of the two stays, the earlier where both are alike.
     """
-    norm = lambda e: " ".join("".join(c if c.isalnum() else " " for c in e.value.lower()).split())
-
-    def fullness(e) -> int:
-        return sum(c.isalnum() for c in e.value) + e.end - e.start + (10 if e.confidence >= 0.9 else 0) + (5 if " " in e.value.strip() else 0)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for e in pdf.sort_values(["start", "end", "value", "source"], kind="stable").itertuples(index=False):
-            n = norm(e)
-            for k, (other, m) in enumerate(kept):
-                if _group(other) != _group(e):
-                    continue
-                close = abs(other.start - e.start) <= near and abs(other.end - e.end) <= near
-                if (e.start < other.end and other.start < e.end) or (n and n == m) or (close and (m.startswith(n) or n.startswith(m))):
-                    if fullness(e) > fullness(other):
-                        kept[k] = (e, n)
-                    break
-            else:
-                kept.append((e, n))
-        return pd.DataFrame([e for e, _ in kept], columns=pdf.columns)
-
-    return entities.groupBy(key).applyInPandas(one, entities.schema)
+    rows = entities.withColumn("value", sanitize_value(F.col("value")))
+    plain = F.trim(F.regexp_replace(F.lower("value"), r"[^\p{L}\p{N}]+", " "))
+    full = letters(F.col("value")) + F.col("end") - F.col("start") + F.when(F.col("confidence") >= 0.9, 10).otherwise(0) + F.when(F.contains("value", F.lit(" ")), 5).otherwise(0)
+
+    def related(a: Column, b: Column) -> Column:
+        at = close(a, b, near)
+        same = (b["__n"] != "") & (a["__n"] == b["__n"])
+        return (a["__g"] == b["__g"]) & (overlap(a, b) | same | (at[0] & at[1] & (a["__n"].startswith(b["__n"]) | b["__n"].startswith(a["__n"]))))
+
+    derived = {"__g": family(F.col("entity_type")), "__n": plain, "__q": full}
+    return folded(rows, key, ["start", "end", "value", "source"], derived, related, lambda a, b: b["__q"] > a["__q"], last_only=False)
 
 
 def inside_windows(entities: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from quillet.functions import geometry as g
 from quillet.functions import text as t
+from quillet.operators import decode as de
 from quillet.operators import entities as en
 from quillet.operators import layout as lay
 from quillet.operators import pages
@@ -277,20 +278,96 @@ _PATTERNS = (
 @query(
     "WITH m AS ("
     + " UNION ALL ".join(
-        f"SELECT doc_id, '{name}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS value, text FROM {_NOTE}" for name, p in _PATTERNS
+        f"SELECT doc_id, {rule} AS rule, '{name}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS value, text FROM {_NOTE}" for rule, (name, p) in enumerate(_PATTERNS)
     )
-    + ') SELECT doc_id, entity_type, value, (strpos(text, value) - 1)::INTEGER AS start, (strpos(text, value) - 1 + length(value))::INTEGER AS "end" FROM m'
+    + """) SELECT doc_id, entity_type, value, (strpos(text, value) - 1)::INTEGER AS start, (strpos(text, value) - 1 + length(value))::INTEGER AS "end", 1.0::DOUBLE AS confidence, 'rule_based' AS source,
+        (row_number() OVER (PARTITION BY doc_id ORDER BY strpos(text, value), rule) - 1)::INTEGER AS place FROM m"""
 )
 def ner_rule_all_with_offsets(spark, sf):
     return en.extract(corpus.notes_text(spark, sf), "doc_id", "text")
 
 
-@query()
+def _fold(entities: str, columns: str, order: str, derived: str, related: str, better: str, last_only: bool = True) -> str:
+    """A fold in order over each item's entities: ``related`` compares a kept ``k`` with the next ``x``; the first kept one that holds (or the last one) is left to the better."""
+    at = f"CASE WHEN len(kept) > 0 AND coalesce(({related.replace('k.', 'kept[len(kept)].')}), FALSE) THEN len(kept) ELSE 0 END" if last_only else f"coalesce(list_min(list_filter(range(1, len(kept) + 1), lambda i: coalesce(({related.replace('k.', 'kept[i].')}), FALSE))), 0)"
+    names = [c.strip() for c in columns.split(",")]
+    fields = ", ".join(f'"{c}" := "{c}"' for c in names)
+    return f"""
+        WITH RECURSIVE d AS (SELECT *, {derived} FROM ({entities})),
+        e AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY {order}) AS n, struct_pack({fields}) AS x FROM d),
+        f AS (SELECT item_id, 1::BIGINT AS n, [x] AS kept FROM e WHERE n = 1
+              UNION ALL SELECT item_id, n, CASE WHEN i = 0 THEN list_append(kept, x) WHEN {better.replace('k.', 'kept[i].')} THEN list_concat(kept[1:i - 1], [x], kept[i + 1:len(kept)]) ELSE kept END
+              FROM (SELECT e.item_id, e.n, f.kept, e.x, {at} AS i FROM f JOIN e ON e.item_id = f.item_id AND e.n = f.n + 1)),
+        z AS (SELECT item_id, unnest(kept) AS x FROM (SELECT item_id, kept FROM f QUALIFY n = max(n) OVER (PARTITION BY item_id)))
+        SELECT item_id, x.entity_type AS entity_type, x.value AS value, x.start AS start, x."end" AS "end", x.confidence AS confidence, x.source AS source FROM z
+    """
+
+
+_SANE = r"""regexp_replace(value, '^[«» ]+|[«» ]+$', '', 'g')"""
+_RANKS = "CASE source WHEN 'rule_based' THEN 1 WHEN 'onnx' THEN 2 WHEN 'spacy' THEN 3 WHEN 'llm' THEN 4 ELSE 9 END AS r, CASE entity_type WHEN 'institution' THEN 5 WHEN 'date' THEN 4 WHEN 'person' THEN 3 WHEN 'place' THEN 3 WHEN 'organization' THEN 2 ELSE 1 END AS t"
+_FAMILY = "CASE WHEN entity_type = 'institution' THEN 'organization' ELSE entity_type END AS g"
+_OVER = '(k.start < x."end" AND x.start < k."end")'
+_ENTITY = "entity_type, value, start, end, confidence, source"
+_LINE_SPANS = """SELECT l_orderkey AS item_id, ['person', 'organization', 'institution', 'place', 'date', 'misc'][l_partkey % 6 + 1] AS entity_type, ['Ana', 'Ana Paz', '«Ana»', 'Lima', 'Real Audiencia', 'El  Cabildo', 'ANA  PAZ'][l_partkey // 3 % 7 + 1] AS value,
+    l_partkey % 29 * 2 AS start, l_partkey % 29 * 2 + 3 + l_suppkey % 9 AS "end", [0.5, 0.55, 0.9, 0.97][l_suppkey % 4 + 1]::DOUBLE AS confidence, ['rule_based', 'onnx', 'spacy', 'llm', NULL][(l_linenumber + l_suppkey) % 5 + 1] AS source FROM lineitem"""
+_MERGE = dict(
+    columns=f"{_ENTITY}, r, t, g, n", order='start NULLS FIRST, "end" NULLS FIRST, r, value, entity_type, confidence NULLS FIRST, source NULLS FIRST', derived=f"{_RANKS}, {_FAMILY}, lower(regexp_replace({_SANE}, ' +', ' ', 'g')) AS n",
+    related=f'{_OVER} OR (k.n = x.n AND ((abs(k.start - x.start) <= 2 AND abs(k."end" - x."end") <= 2) OR k.entity_type = x.entity_type))',
+    better="""CASE WHEN coalesce(k.source, '') = 'rule_based' AND k.entity_type = 'date' THEN FALSE WHEN coalesce(x.source, '') = 'rule_based' AND x.entity_type = 'date' THEN TRUE
+        WHEN coalesce(x.source, '') = 'onnx' AND coalesce(k.source, '') NOT IN ('onnx', 'spacy') AND x.g IN ('person', 'place', 'organization') AND x.g = k.g AND x.confidence >= k.confidence + 0.05::DOUBLE THEN TRUE
+        WHEN coalesce(k.source, '') = 'onnx' AND coalesce(x.source, '') NOT IN ('onnx', 'spacy') AND k.g IN ('person', 'place', 'organization') AND x.g = k.g AND k.confidence >= x.confidence + 0.05::DOUBLE THEN FALSE
+        WHEN coalesce(k.source, '') = 'rule_based' AND k.entity_type = 'institution' AND x.g = 'organization' THEN FALSE WHEN coalesce(x.source, '') = 'rule_based' AND x.entity_type = 'institution' AND k.g = 'organization' THEN TRUE
+        WHEN k.t <> x.t THEN x.t > k.t WHEN x."end" - x.start > k."end" - k.start AND x.confidence >= k.confidence THEN TRUE WHEN k."end" - k.start > x."end" - x.start AND k.confidence >= x.confidence THEN FALSE
+        WHEN x.confidence <> k.confidence THEN x.confidence > k.confidence ELSE x.r > k.r END""",
+)
+
+
+@query(_fold(f"SELECT item_id, entity_type, value, start, \"end\", confidence, source FROM {_ENT} WHERE source IN ('rule_based', 'onnx')", **_MERGE))
 def ner_merge_sources(spark, sf):
     e = corpus.entities(spark, sf).where("source in ('rule_based', 'onnx')").select("item_id", "entity_type", "value", "start", "end", "confidence", "source")
     return en.merge_sources(e, "item_id")
 
 
+@query(_fold(_LINE_SPANS, **_MERGE))
+def ner_merge_line_spans(spark, sf):
+    return en.merge_sources(corpus.line_spans(spark, sf), "item_id")
+
+
+_LETTERS_SQL = r"len(regexp_extract_all(value, '[\p{L}\p{N}]'))"
+
+
+@query(_fold(
+    f"SELECT * FROM ({_LINE_SPANS}) WHERE source = 'onnx'", f"{_ENTITY}, g, n, q", 'start, "end", value, entity_type, confidence, source',
+    f"""{_FAMILY}, lower(regexp_replace({_SANE}, ' +', ' ', 'g')) AS n, {_LETTERS_SQL} + 50 + CASE WHEN contains(value, ' ') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(value, '[\\p{{L}}\\p{{N}}]$') THEN 5 ELSE 0 END + "end" - start + CASE WHEN confidence >= 0.9 THEN 5 ELSE 0 END AS q""",
+    f"""k.g = x.g AND ({_OVER} OR ((abs(k.start - x.start) <= 24 OR abs(k."end" - x."end") <= 24) AND (contains(k.n, x.n) OR contains(x.n, k.n))))""", "x.q > k.q",
+))
+def ner_consolidate_onnx(spark, sf):
+    return de.consolidated(corpus.line_spans(spark, sf).where("source = 'onnx'"), "item_id")
+
+
+def _dedup_sql(entities: str) -> str:
+    return _fold(
+        f"SELECT * REPLACE ({_SANE} AS value) FROM ({entities})", f"{_ENTITY}, g, n, q", 'start, "end", value, source NULLS FIRST, entity_type, confidence NULLS FIRST',
+        f"""{_FAMILY}, trim(regexp_replace(lower(value), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS n, {_LETTERS_SQL} + "end" - start + CASE WHEN confidence >= 0.9 THEN 10 ELSE 0 END + CASE WHEN contains(value, ' ') THEN 5 ELSE 0 END AS q""",
+        f"""k.g = x.g AND ({_OVER} OR (x.n <> '' AND k.n = x.n) OR (abs(k.start - x.start) <= 8 AND abs(k."end" - x."end") <= 8 AND (starts_with(k.n, x.n) OR starts_with(x.n, k.n))))""", "x.q > k.q", last_only=False,
+    )
+
+
+@query(_dedup_sql(_LINE_SPANS))
+def ner_dedup_line_spans(spark, sf):
+    return en.dedup_document(corpus.line_spans(spark, sf), "item_id")
+
+
+@query("""
+    WITH e AS (SELECT *, CASE WHEN entity_type = 'institution' THEN 'organization' ELSE entity_type END AS g, row_number() OVER () AS id FROM (""" + _LINE_SPANS + """))
+    SELECT item_id, entity_type, value, start, "end", confidence, source FROM e c WHERE source IS NOT NULL AND source <> 'rule_based' AND confidence > 0.89 AND NOT EXISTS (
+        SELECT 1 FROM e p WHERE p.source IS NULL AND p.item_id = c.item_id AND p.g = c.g AND (lower(p.value) = lower(c.value) OR (c.start < p."end" AND p.start < c."end")))
+""")
+def ner_protected_line_spans(spark, sf):
+    e = corpus.line_spans(spark, sf)
+    return en.unprotected(e.where("source <> 'rule_based'"), e.where("source is null"))
+
+
 @query("""
     WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, CASE WHEN (l_partkey + l_linenumber) % 4 = 0 THEN 'B-' WHEN (l_partkey + l_linenumber) % 4 = 3 THEN 'O-' ELSE 'I-' END || ['PER','LOC'][l_suppkey % 2 + 1] AS label, l_linenumber * 5 AS start, l_linenumber * 5 + 4 AS "end", l_discount AS score FROM lineitem),
     f AS (SELECT *, substr(label, 3) AS entity_type FROM p WHERE label NOT LIKE 'O-%'),
@@ -570,7 +647,7 @@ def ner_prune_window_edges(spark, sf):
     return en.inside_windows(e).select("l_orderkey", "l_linenumber", "start", "end")
 
 
-@query()
+@query(_dedup_sql(f"SELECT item_id, entity_type, value, start, \"end\", confidence, source FROM {_ENT}"))
 def ner_dedup_document(spark, sf):
     e = corpus.entities(spark, sf).select("item_id", "entity_type", "value", "start", "end", "confidence", "source")
     return en.dedup_document(e, "item_id")

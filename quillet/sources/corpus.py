@@ -36,6 +36,16 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities made of order lines: an order's lines are the entities of an item."""
+    pick = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("item_id"), pick(("person", "organization", "institution", "place", "date", "misc"), p % 6).alias("entity_type"), pick(("Ana", "Ana Paz", "«Ana»", "Lima", "Real Audiencia", "El  Cabildo", "ANA  PAZ"), F.floor(p / 3) % 7).alias("value"),
+        (p % 29 * 2).alias("start"), (p % 29 * 2 + 3 + s % 9).alias("end"), pick((0.5, 0.55, 0.9, 0.97), s % 4).alias("confidence"), pick(("rule_based", "onnx", "spacy", "llm", None), (F.col("l_linenumber") + s) % 5).alias("source"),
+    )
+
+
 def notes_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spanish passages made of orders."""
     k = F.col("o_orderkey")
