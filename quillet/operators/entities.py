@@ -7,9 +7,9 @@ Python runs. The rules' matches are found by one vectorised scan.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,18 +49,29 @@ def matches(text: Column, pattern: str) -> Column:
 _FOUND = T.ArrayType(T.StructType([T.StructField("entity_type", T.StringType()), T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-@F.pandas_udf(_FOUND)
-def rule_matches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Matches of all rules in a text by start, then in the order of the rules; values sanitised, those that vanish left out."""
-    rules = [(name.split("_")[0], re.compile(p.removeprefix("(?U)"))) for name, p in RULES.items()]
+_COMPILED = [(name.split("_")[0], re.compile(p.removeprefix("(?U)"))) for name, p in RULES.items()]
 
-    def one(text: str | None) -> list[dict]:
-        out = [(m.start(), m.end(), kind, sanitized(m.group())) for kind, p in rules for m in p.finditer(text or "")]
-        out.sort(key=lambda m: m[0])
-        return [{"entity_type": kind, "value": value, "start": start, "end": end} for start, end, kind, value in out if value]
 
-    for part in texts:
-        yield part.map(one, na_action=None)
+@F.arrow_udf(_FOUND)
+def rule_matches(texts: pa.Array) -> pa.Array:
+    """Matches of all rules in a text by start, then in the order of the rules; values sanitised, those that vanish left out."""
+    ends, found = [0], []
+    for text in texts.to_pylist():
+        own = []
+        for kind, p in _COMPILED if text else ():
+            for m in p.finditer(text):
+                value = m.group()
+                if not (value.isascii() and value[0].isalnum() and value[-1].isalnum()):  # else there is nothing to take off or repair
+                    value = sanitized(value)
+                if value:
+                    own.append((kind, value, *m.span()))
+        own.sort(key=lambda m: m[2])
+        found += own
+        ends.append(len(found))
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    kinds = {"entity_type": pa.string(), "value": pa.string(), "start": pa.int32(), "end": pa.int32()}
+    fields = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
 
 
 def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
