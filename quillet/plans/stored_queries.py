@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillet.operators.item_index import ItemIndex, canonical_items
+from quillet.operators.similarity import similar_all
 from quillet.operators.tables import StoredTable
 from quillet.plans.corpus_queries import STRICT, _bm25
 from quillet.plans.registry import query
@@ -98,3 +99,11 @@ def stored_replace_and_cascade(spark, sf):
     kept.replace(fresh, ["item_id", "asset_id"])
     kept.delete(read(spark, sf, "customer").where("c_nationkey = 3").select("c_custkey"))
     return StoredTable(spark, kept.path).read()
+
+
+@query("""
+    WITH s AS (SELECT a.vec_id, b.vec_id AS similar_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+    SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, similar_id) AS INTEGER) AS rank, similar_id, similarity FROM s QUALIFY rank <= 5
+""")
+def similar_assets_all_pairs(spark, sf):
+    return similar_all(read(spark, sf, "embeddings"))

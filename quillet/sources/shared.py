@@ -30,3 +30,10 @@ def read_all(spark: SparkSession, schema: str | StructType, base: str, paths: li
     if not paths:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", base).parquet(*paths)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage ends here."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

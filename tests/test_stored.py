@@ -3,10 +3,12 @@
 import os
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillet.operators.item_index import FIELDS, ItemIndex, canonical_items
+from quillet.operators import similarity
 from quillet.operators.tables import StoredTable
 
 ITEM = "item_id string, title string, metadata string, text string"
@@ -106,3 +108,26 @@ def test_buckets_empty_and_fill(spark, tmp_path):
     assert sorted((r["item"] or 0, r["n"]) for r in kept.read().collect()) == [(0, 5), (2, 1)]
     with pytest.raises(ValueError, match="holds item"):
         kept.replace(spark.createDataFrame([], "item int, asset string, n int"), ["asset"])
+
+
+def test_all_pairs_are_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    for name, value in (("ROWS", 16), ("GROUP", 2), ("PIVOTS", 16), ("CHUNK", 4)):
+        monkeypatch.setattr(similarity, name, value)
+    centres = r.normal(0, 1, (12, 6))
+    vectors = [(k, (centres[k % 12] + r.normal(0, 0.02, 6)).round(4).tolist()) for k in range(400)]
+    vectors += [(400 + k, r.normal(0, 1, 3).tolist()) for k in range(30)]
+    vectors += [(k, vectors[3][1]) for k in (3, 500, 501, 502, 503, 504, 505, 506)] + [(600, None), (601, []), (602, [0.0] * 6), (603, [1.0, None, 2.0]), (604, [float("nan")] * 6), (605, [1.0] * 9)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    blocks = similarity.blocks_of(df, 4)
+    assert similarity.cells(blocks).where("not asks").count() < blocks.count() * blocks.select("part").distinct().count()  # blocks are left out
+    got = sorted((x["vec_id"], x["rank"], x["similar_id"], round(x["similarity"], 6)) for x in similarity.similar_all(df, 4).collect())
+    able = [(k, np.array(v)) for k, v in vectors if v and None not in v and np.isfinite(v).all() and np.any(v)]
+    want = []
+    for k, v in able:
+        all_ = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 6), j) for j, w in able if j != k and len(w) == len(v))
+        want += [(k, p + 1, j, -s) for p, (s, j) in enumerate(all_[:4])]
+    near = lambda rows: [(a, b, round(d, 5)) for a, b, _, d in rows]
+    assert near(got) == near(sorted(want))
+    assert sum(a != b for a, b in zip(got, sorted(want), strict=True)) <= 4  # ties of the last digit may fall either way
+    assert similarity.similar_all(df.limit(0)).count() == 0
