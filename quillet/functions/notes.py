@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from html.parser import HTMLParser
-from urllib.parse import urlsplit
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,7 +19,6 @@ ALLOWED = {"a", "blockquote", "br", "code", "em", "h1", "h2", "h3", "i", "li", "
 DROPPED = {"iframe", "object", "script", "style"}
 PARAGRAPHS = {"article", "div", "section"}
 _BLOCK = r"<(?:p|h1|h2|h3|ul|ol|blockquote|pre|li)\b"
-SCHEMES = ("http", "https", "mailto", "tel")
 _TAG = r"(?i)</?[a-z][\w:-]*\b[^>]*>"
 
 
@@ -45,23 +44,77 @@ def plain_to_html(text: Column) -> Column:
     return F.when(body == "", "").otherwise(F.array_join(parts, ""))
 
 
-def link(href: Column) -> Column:
-    """Anchors and web, mail and telephone links, https where no scheme stands; others are null."""
-    t = strip(href)
-    scheme = F.lower(F.regexp_extract(t, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
-    return F.when((t == "") | t.isNull(), None).when(t.startswith("#"), t).when(scheme == "", F.concat(F.lit("https://"), t)).when(scheme.isin(*SCHEMES), t)
+_PORTS = {"http": 80, "https": 443}
+#: Characters that are written as percent codes, besides controls and all beyond ASCII.
+_IN_PATH, _IN_QUERY, _IN_FRAGMENT = ' "#<>?`{}^', ' "#<>\'', ' "<>`'
+_NO_HOST = re.compile(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7F]")
+
+
+def _coded(text: str, also: str) -> str:
+    return "".join(c if " " <= c <= "~" and c not in also else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in text)
+
+
+def _path(path: str) -> str:
+    """A hierarchical path without its dot segments."""
+    out: list[str] = []
+    parts = path.replace("\\", "/").removeprefix("/").split("/")
+    for i, part in enumerate(parts):
+        dots, last = part.lower().replace("%2e", "."), i == len(parts) - 1
+        if dots == "..":
+            out = out[:-1]
+        elif dots != ".":
+            out.append(_coded(part, _IN_PATH))
+        if last and dots in (".", ".."):
+            out.append("")
+    return "/" + "/".join(out)
+
+
+def serialised(address: str, base: str = "localhost") -> str | None:
+    """An absolute web, mail or telephone address as a browser writes it: scheme and host in lower case, no default port, a path, percent codes; None for others.
+
+    An https address without slashes is relative to ``base``.
+    """
+    scheme, rest = re.sub(r"[\t\n\r]", "", address).split(":", 1)
+    scheme = scheme.lower()
+    rest, mark, fragment = rest.partition("#")
+    tail = "#" + _coded(fragment, _IN_FRAGMENT) if mark else ""
+    rest, mark, query = rest.partition("?")
+    if scheme in ("mailto", "tel"):
+        rest = rest if mark or tail else rest.rstrip(" ")
+        return f"{scheme}:{_coded(rest, '')}{'?' + _coded(query, _IN_QUERY[:-1]) if mark else ''}{tail}"
+    if scheme not in _PORTS:
+        return None
+    tail = ("?" + _coded(query, _IN_QUERY) if mark else "") + tail
+    if scheme == "https" and rest[:1] not in ("/", "\\"):
+        return f"https://{base}{_path(rest)}{tail}"
+    authority, path = re.fullmatch(r"(?s)[/\\]*([^/\\]*)(.*)", rest).groups()
+    user, at, host = authority.rpartition("@")
+    host, colon, port = host.partition(":") if not host.startswith("[") else (host[: host.find("]") + 1], *host[host.find("]") + 1 :].partition(":")[1:])
+    try:
+        host = unquote(host).lower()
+        host = host if host.isascii() else host.encode("idna").decode()
+    except UnicodeError:
+        return None
+    bad = not re.fullmatch(r"\[[0-9a-f:.]+\]", host) if host.startswith("[") else _NO_HOST.search(host)
+    if not host or bad or (port and not (port.isascii() and port.isdigit() and int(port) < 65536)):
+        return None
+    shown = f":{int(port)}" if port and int(port) != _PORTS[scheme] else ""
+    name, colon, secret = user.partition(":")
+    login = _coded(name, _IN_PATH + "/;=@[]|") + (":" + _coded(secret, _IN_PATH + "/:;=@[]|") if secret else "")
+    return f"{scheme}://{login + '@' if login else ''}{host}{shown}{_path(path)}{tail}"
 
 
 def _link(href: str | None) -> str | None:
     t = (href or "").strip()
     if not t or t.startswith("#"):
         return t or None
-    if not re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", t):
-        t = f"https://{t}"
-    try:
-        return t if urlsplit(t).scheme.lower() in SCHEMES else None
-    except ValueError:
-        return None
+    return serialised(t if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", t) else f"https://{t}")
+
+
+@F.pandas_udf(T.StringType())
+def link(href: pd.Series) -> pd.Series:
+    """Anchors as they are; web, mail and telephone links as addresses, https where no scheme stands; others are null."""
+    return href.map(_link)
 
 
 class _Cleaner(HTMLParser):

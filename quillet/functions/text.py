@@ -289,14 +289,30 @@ def framed(output: Column, name: str) -> Column:
     return strip(F.when(found == "", output).otherwise(found))
 
 
-def cache_key(text: Column) -> Column:
-    """A 64-bit hash of a text, to look results up by; it is never stored."""
-    return F.xxhash64(text)
+# Start and prime of the 64-bit hash.
+_FNV_START, _FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+@F.pandas_udf(T.LongType())
+def cache_key(texts: pd.Series) -> pd.Series:
+    """FNV-1a over a text's bytes in UTF-8, as a signed 64-bit number, to look results up by."""
+
+    def one(text: str | None) -> int | None:
+        if text is None:
+            return None
+        h = _FNV_START
+        for b in text.encode():
+            h = ((h ^ b) * _FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
+        return h - (1 << 64) if h >> 63 else h
+
+    return texts.map(one, na_action=None).astype("Int64")
 
 
 def sound_text(text: Column) -> Column:
-    """Text whose broken code units are replaced."""
-    return F.make_valid_utf8(text)
+    """Text whose lone surrogates are a question mark each, so that offsets stay; other broken bytes become replacement characters."""
+    seen = F.decode(text.cast("binary"), "ISO-8859-1")  # a character a byte
+    marked = F.regexp_replace(seen, r"\xED[\xA0-\xBF][\x80-\xBF]", "?")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.make_valid_utf8(F.encode(marked, "ISO-8859-1").cast("string")))
 
 
 def age_label(then: Column, now: Column) -> Column:

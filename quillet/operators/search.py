@@ -162,18 +162,22 @@ def search_items(items: DataFrame, query: str, collection: str | None = None, mo
     return ranked.unionByName(plain).orderBy(F.desc("updated_at"), "item_id")
 
 
+def fitting(text: Column, octets: Column) -> Column:
+    """The longest prefix of whole characters within a number of bytes."""
+    cut = lambda less: F.try_validate_utf8(F.substring(F.encode(text, "UTF-8"), F.lit(1), (octets - less).cast("int")).cast("string"))
+    return F.when(F.octet_length(text) <= octets, text).otherwise(F.coalesce(*[cut(k) for k in range(4)]))
+
+
 def context(items: DataFrame, question: str, collection: str, snippet: int = 1200, budget: int = 6000, most: int = 5) -> DataFrame:
     """(place, item_id, part): what a question about a collection is answered from, best item first, each under its title, all within the budget.
 
-    The part that would pass the budget is cut and is the last; items without text take no room.
+    The budget counts bytes in UTF-8, a snippet characters. The part that would pass the budget is cut at a character and is the last; items without text take no room.
     """
     terms = _listed(items.sparkSession, match_terms, question)
     top = search(items, terms, most, key="item_id", relaxed=False, carry=("collection_id", "title", "body"), scope=F.col("collection_id") == collection)
     part = F.concat(F.lit("--- "), F.col("title"), F.lit(" ---\n"), F.substring("body", 1, snippet), F.lit("\n\n"))
     rows = top.where("body <> ''").select("item_id", "rank", part.alias("part"))
     by = W.orderBy("rank", "item_id")  # at most ``most`` rows
-    before = F.coalesce(F.sum(F.length("part")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.octet_length("part")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.select(F.row_number().over(by).alias("place"), "item_id", "part", before.alias("before")).where(F.col("before") < budget)
-    return rows.select("place", "item_id", F.substring(F.col("part"), F.lit(1), (F.lit(budget) - F.col("before")).cast("int")).alias("part"))
-
-
+    return rows.select("place", "item_id", fitting(F.col("part"), F.lit(budget) - F.col("before")).alias("part"))

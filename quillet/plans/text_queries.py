@@ -89,8 +89,8 @@ def item_search_like_fallback(spark, sf):
 @query(f"""
     WITH top AS (SELECT *, row_number() OVER (ORDER BY round(rank, 6), item_id) AS k FROM {_ranked_items('title')} WHERE collection_id = (SELECT max(collection_id) FROM {_ITEM_DOCS}) ORDER BY round(rank, 6), item_id LIMIT 5),
     p AS (SELECT k, item_id, '--- ' || title || ' ---' || chr(10) || substr(body, 1, 1200) || chr(10) || chr(10) AS part FROM top WHERE body <> ''),
-    b AS (SELECT *, coalesce(sum(length(part)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
-    SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS place, item_id, substr(part, 1, CAST(2500 - before AS BIGINT)) AS part FROM b WHERE before < 2500
+    b AS (SELECT *, coalesce(sum(strlen(part)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+    SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS place, item_id, substr(part, 1, list_max(list_filter(range(0, length(part) + 1), lambda n: strlen(substr(part, 1, n)) <= 2500 - before))) AS part FROM b WHERE before < 2500
 """)
 def ask_context_budget(spark, sf):
     items = _items(spark, sf)
@@ -153,13 +153,35 @@ def note_legacy_to_html(spark, sf):
     return read(spark, sf, "part").select("p_partkey", notes.is_plain(raw).alias("plain"), notes.plain_to_html(raw).alias("html"), notes.is_plain(F.concat(F.lit("<b>"), "p_name", F.lit("</b>"))).alias("tagged"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'https://x.org/' || p_partkey WHEN 1 THEN 'mailto:a@b' WHEN 2 THEN NULL WHEN 3 THEN '#top' ELSE 'HTTP://y' END AS href FROM part")
+# what is written, and what a browser makes of it
+_HREFS = [
+    (" x.org", "https://x.org/"), ("HTTP://Y", "http://y/"), ("mailto:a@b", "mailto:a@b"), ("javascript:alert(1)", None), ("#top ", "#top"), ("http://Ex.ORG:80/a b?q=é#ñ", "http://ex.org/a%20b?q=%C3%A9#%C3%B1"), ("https:\\\\x.org\\p", "https://x.org/p"),
+    ("http://x.org:8080/a/./b/../c", "http://x.org:8080/a/c"), ("TEL:+34 600", "tel:+34 600"), ("http://x y/", None), ("https://x.org:99999/", None), ("ftp://x.org", None), ("https://ñandú.org/", "https://xn--and-6ma2c.org/"), ("http://u:p@X.org", "http://u:p@x.org/"), (" ", None),
+]
+_SQL = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % {len(_HREFS) + 1} = {len(_HREFS)} THEN 'https://x.org/' || p_partkey || '?n=' || replace(p_name, ' ', '%20') ELSE [{', '.join(_SQL(b) for _, b in _HREFS)}][p_partkey % {len(_HREFS) + 1} + 1] END AS href FROM part")
 def note_links(spark, sf):
-    k = F.col("p_partkey")
-    raw = F.when(k % 5 == 0, F.concat(F.lit(" x.org/"), k.cast("string"))).when(k % 5 == 1, "mailto:a@b").when(k % 5 == 2, "javascript:alert(1)").when(k % 5 == 3, "#top ").otherwise("HTTP://y")
+    k, n = F.col("p_partkey"), len(_HREFS) + 1
+    raw = F.when(k % n == n - 1, F.concat(F.lit("X.org/"), k.cast("string"), F.lit("?n="), F.col("p_name"))).otherwise(F.get(F.array(*[F.lit(a) for a, _ in _HREFS]), (k % n).cast("int")))
     return read(spark, sf, "part").select("p_partkey", notes.link(raw).alias("href"))
 
 
+@query("""
+    WITH h AS (SELECT p_partkey, list_reduce(list_transform(range(0, len(x), 2), lambda i: CAST('0x' || substr(x, CAST(i AS INTEGER) + 1, 2) AS HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM (SELECT p_partkey, hex(encode(p_name || ' ñ')) AS x FROM part))
+    SELECT p_partkey, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS key FROM h
+""")
+def text_cache_key(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", t.cache_key(F.concat("p_name", F.lit(" ñ"))).alias("key"))
+
+
+@query("SELECT p_partkey, p_name || ' ?a??' AS sound FROM part")
+def text_sound(spark, sf):
+    broken = F.concat(F.encode("p_name", "UTF-8"), F.unhex(F.lit("20EDB29D61EDA080EDBFBF"))).cast("string")
+    return read(spark, sf, "part").select("p_partkey", t.sound_text(broken).alias("sound"))
+
+
 @query("SELECT page_id, count(*) AS n FROM (SELECT page_id FROM pages) GROUP BY page_id")
 def note_sanitised_pages(spark, sf):
     shown = read(spark, sf, "pages").select("page_id", notes.rendered(F.col("html")).alias("h"))

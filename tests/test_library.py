@@ -152,7 +152,7 @@ def test_clauses(spark):
 
 def test_notes(spark):
     html = '<div>a<script>bad()</script> <b>b</b> <a href="javascript:x">c</a><a href="x.org">d</a><p> </p><br></div>'
-    assert one(spark, notes.sanitise(F.lit(html))) == '<p>a b c<a href="https://x.org" target="_blank" rel="noopener noreferrer nofollow">d</a><br></p>'
+    assert one(spark, notes.sanitise(F.lit(html))) == '<p>a b c<a href="https://x.org/" target="_blank" rel="noopener noreferrer nofollow">d</a><br></p>'
     assert one(spark, notes.sanitise(F.lit("a < b &amp; c"))) == "<p>a &lt; b &amp; c</p>"
     assert one(spark, notes.rendered(F.lit("a & b\n\nc"))) == "<p>a &amp; b</p><p>c</p>" and one(spark, notes.rendered(F.lit(None).cast("string"))) == ""
     assert one(spark, notes.is_empty(F.lit("<style>x</style><p> </p>"))) and not one(spark, notes.is_empty(F.lit("x")))
