@@ -13,6 +13,7 @@ from quillet.operators import layout as lay
 from quillet.operators import prompts
 from quillet.operators import relational as rel
 from quillet.operators import search as fts
+from quillet.plans import store_queries as sq
 from quillet.plans.registry import query
 from quillet.sources import media
 from quillet.sources.corpus import read
@@ -405,16 +406,42 @@ def audio_samples(spark, sf):
 
 @query("SELECT 'n' || n_nationkey AS id, 2 AS version, n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS items, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey) AS assets FROM nation")
 def export_documents(spark, sf):
+    pieces = _fragments(spark, sf)
+    d = F.from_json(F.concat("fragment", F.lit("]}")), "version int, collection struct<id: string, name: string>")
+    heads = pieces.where("part = 0").select(F.col("collection_id").alias("id"), d.alias("d")).select("id", "d.version", F.col("d.collection.name").alias("name"))
+    item = F.from_json(F.ltrim(F.col("fragment"), F.lit(",")), "assets array<struct<path: string>>")
+    sums = pieces.where("part = 1").groupBy(F.col("collection_id").alias("id")).agg(F.count(F.lit(1)).alias("items"), F.sum(F.size(item["assets"])).alias("assets"))
+    return heads.join(sums, "id", "left").select("id", "version", "name", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("assets", F.lit(0)).alias("assets"))
+
+
+_AT = "2020-01-01T00:00:00.000Z"
+
+
+def _fragments(spark, sf):
     from quillet.operators.store import newest
     from quillet.sources import corpus
 
     s = corpus.store(spark, sf)
-    texts = newest(s["extractions"], "asset_id").select("asset_id", F.col("text_content").alias("text"))
-    out = media.exported(s["collections"], s["items"], s["assets"], texts, s["notes"], s["annotations"])
-    doc = F.from_json("document", "version int, name string, items array<struct<assets:array<struct<asset_id:string>>>>")
-    d = out.select("id", doc.alias("d"))
-    n = F.aggregate(F.coalesce("d.items", F.array().cast("array<struct<assets:array<struct<asset_id:string>>>>")), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.size(i["assets"]), F.lit(0)))
-    return d.select("id", "d.version", "d.name", F.coalesce(F.size("d.items"), F.lit(0)).cast("long").alias("items"), n.alias("assets"))
+    texts = lambda name: newest(s[name], "asset_id").select("asset_id", F.col("text_content").alias("text"))
+    return media.export_fragments(s["collections"], s["items"], s["assets"], texts("extractions"), texts("transcriptions"), s["notes"], s["annotations"], _AT)
+
+
+_NEWEST = "(SELECT asset_id, text_content FROM {} QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY created_at DESC, id DESC) = 1)"
+_X, _T = _NEWEST.format(sq._EXTRACTIONS), _NEWEST.format(sq._TRANSCRIPTIONS)
+
+
+@query(f"""
+    WITH box AS (SELECT 'o' || l_orderkey AS asset_id, list(struct_pack(x := l_discount, y := l_tax, width := 0.1::DOUBLE, height := 0.2::DOUBLE) ORDER BY l_linenumber, l_partkey, 'a' || {sq._LINE}) FILTER (l_partkey % 2 = 0) AS b FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey),
+    a AS (SELECT 'c' || o_custkey AS item_id, list(struct_pack(filename := o_orderkey || '.png', "type" := ['image', 'pdf', 'audio'][o_orderkey % 3 + 1], size := o_orderkey * 7, path := 'assets/' || o_orderkey || '.png', text := coalesce(x.text_content, t.text_content), bboxes := coalesce(b, [])) ORDER BY o_orderkey % 5, o_orderkey) AS assets
+        FROM orders LEFT JOIN box ON box.asset_id = 'o' || o_orderkey LEFT JOIN {_X} x ON x.asset_id = 'o' || o_orderkey LEFT JOIN {_T} t ON t.asset_id = 'o' || o_orderkey GROUP BY o_custkey),
+    n AS (SELECT 'c' || o_custkey AS item_id, list(struct_pack(content := '<p>' || o_orderpriority || '</p>', "createdAt" := o_orderkey, "updatedAt" := o_orderkey) ORDER BY -o_orderkey) AS notes FROM orders WHERE o_orderkey % 5 = 0 GROUP BY o_custkey),
+    i AS (SELECT i.*, row_number() OVER (PARTITION BY collection_id ORDER BY updated_at DESC, id) AS k, coalesce(assets, []) AS assets, coalesce(notes, []) AS notes FROM {sq._ITEMS} i LEFT JOIN a ON a.item_id = i.id LEFT JOIN n ON n.item_id = i.id)
+    SELECT collection_id, 1 AS part, updated_at, id AS item_id, CASE WHEN k > 1 THEN ',' ELSE '' END || to_json(struct_pack(id := id, title := title, metadata := metadata, "createdAt" := created_at, "updatedAt" := updated_at, assets := assets, notes := notes))::VARCHAR AS fragment FROM i
+    UNION ALL SELECT id, 0, NULL, NULL, '{{"version":2,"exportedAt":"{_AT}","collection":' || to_json(struct_pack(id := id, name := name, description := NULL::VARCHAR, "createdAt" := created_at, "updatedAt" := updated_at))::VARCHAR || ',"items":[' FROM {sq._COLLECTIONS}
+    UNION ALL SELECT id, 2, NULL, NULL, ']}}' FROM {sq._COLLECTIONS}
+""")
+def export_whole(spark, sf):
+    return _fragments(spark, sf)
 
 
 # queues

@@ -56,26 +56,44 @@ def resampled(samples: Column, source: Column, target: Column) -> Column:
     return F.when((source == target) | (F.size(samples) == 0), samples.cast("array<double>")).otherwise(F.transform(at, one))
 
 
-def exported(collections: DataFrame, items: DataFrame, assets: DataFrame, texts: DataFrame, notes: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(id, document): each collection as one nested JSON document of version 2: items, their assets with text and marked boxes, their notes.
+def export_fragments(collections: DataFrame, items: DataFrame, assets: DataFrame, extractions: DataFrame, transcriptions: DataFrame, notes: DataFrame, annotations: DataFrame, at: str) -> DataFrame:
+    """(collection_id, part, updated_at, item_id, fragment): the JSON documents of all collections, version 2, in pieces.
 
-    texts: (asset_id, text), one row an asset. One join a table for all collections at once.
+    A collection is a head (part 0), a piece an item (part 1, newest first) and an end (part 2); its pieces in order of (part, updated_at descending, item_id), one after
+    another, are its document. An item's piece holds its assets with text and marked boxes and its notes; no row holds a collection.
+    extractions, transcriptions: (asset_id, text), one row an asset; the first that has a text gives it. ``at``: the time of the export.
     """
-    marks = annotations.groupBy("asset_id").agg(rectangles(F.array_sort(F.collect_list(F.struct("created_at", "id", "kind", "x", "y", "width", "height")))).alias("boxes"))
-    a = assets.withColumnRenamed("id", "asset_id").join(texts, "asset_id", "left").join(marks, "asset_id", "left")
-    empty = "cast(array() as array<struct<x:double,y:double,width:double,height:double>>)"
-    row = F.struct("sort_index", "asset_id", asset_path(F.col("path")).alias("path"), file_name(F.col("path")).alias("name"), "type", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("boxes"), F.expr(empty)).alias("boxes"))
-    per_item = a.groupBy("item_id").agg(F.array_sort(F.collect_list(row)).alias("assets"))
-    own_notes = notes.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "content"))).alias("notes"))
-    i = items.withColumnRenamed("id", "item_id").join(per_item, "item_id", "left").join(own_notes, "item_id", "left")
-    per_collection = i.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "item_id", "title", "metadata", "assets", "notes"))).alias("items"))
-    out = collections.join(per_collection, collections["id"] == per_collection["collection_id"], "left")
-    return out.select("id", F.to_json(F.struct(F.lit(2).alias("version"), "id", "name", "description", "items")).alias("document"))
-
-
-def write_export(exports: DataFrame, path: str) -> None:
-    """One line of JSON a collection."""
-    exports.select("document").write.mode("overwrite").text(path)
+    marks = annotations.groupBy("asset_id").agg(rectangles(F.array_sort(F.collect_list(F.struct("page", "created_at", "id", "kind", "x", "y", "width", "height")))).alias("boxes"))
+    a = assets.withColumnRenamed("id", "asset_id").join(marks, "asset_id", "left")
+    for name, texts in (("x", extractions), ("t", transcriptions)):
+        a = a.join(texts.select("asset_id", F.col("text").alias(name)), "asset_id", "left")
+    boxes = F.coalesce("boxes", F.expr("cast(array() as array<struct<x:double,y:double,width:double,height:double>>)"))
+    shown = F.struct(file_name(F.col("path")).alias("filename"), "type", "size", asset_path(F.col("path")).alias("path"), F.coalesce("x", "t").alias("text"), boxes.alias("bboxes"))
+    placed = F.array_sort(F.collect_list(F.struct("sort_index", "created_at", "asset_id", shown.alias("v"))))
+    per_item = a.groupBy("item_id").agg(F.transform(placed, lambda r: r["v"]).alias("assets"))
+    note = F.struct((-F.col("created_at")).alias("o"), "id", F.struct("content", F.col("created_at").alias("createdAt"), F.col("updated_at").alias("updatedAt")).alias("v"))
+    own_notes = notes.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(note)), lambda r: r["v"]).alias("notes"))
+    rows = items.withColumnRenamed("id", "item_id").join(per_item, "item_id", "left").join(own_notes, "item_id", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c)
+    keep = {"ignoreNullFields": "false"}
+    item = F.to_json(F.struct(F.col("item_id").alias("id"), "title", "metadata", F.col("created_at").alias("createdAt"), F.col("updated_at").alias("updatedAt"), none("assets"), none("notes")), keep)
+    first = items.groupBy("collection_id").agg(F.min(F.struct((-F.col("updated_at")).alias("o"), "id"))["id"].alias("item_id")).select("item_id", F.lit("").alias("mark"))
+    pieces = rows.select("collection_id", F.lit(1).alias("part"), "updated_at", "item_id", item.alias("json")).join(first, "item_id", "left")
+    pieces = pieces.select("collection_id", "part", "updated_at", "item_id", F.concat(F.coalesce("mark", F.lit(",")), "json").alias("fragment"))
+    own = F.to_json(F.struct("id", "name", "description", F.col("created_at").alias("createdAt"), F.col("updated_at").alias("updatedAt")), keep)
+    head = F.concat(F.lit(f'{{"version":2,"exportedAt":"{at}","collection":'), own, F.lit(',"items":['))
+    edge = lambda part, fragment: collections.select(F.col("id").alias("collection_id"), F.lit(part).alias("part"), F.lit(None).cast("long").alias("updated_at"), F.lit(None).cast("string").alias("item_id"), fragment.alias("fragment"))
+    known = pieces.join(collections.select(F.col("id").alias("collection_id")), "collection_id", "left_semi")
+    return edge(0, head).unionByName(known).unionByName(edge(2, F.lit("]}")))
+
+
+def write_export(fragments: DataFrame, path: str) -> None:
+    """A folder a collection under ``path``; its files in order of their names, one after another, are the document.
+
+    Pieces are dealt by range, so that a large collection is written by several tasks.
+    """
+    order = ["collection_id", "part", F.desc("updated_at"), "item_id"]
+    fragments.repartitionByRange(*order).sortWithinPartitions(*order).select("collection_id", F.col("fragment").alias("value")).write.mode("overwrite").partitionBy("collection_id").text(path)
 
 
 def richness(tables: list[DataFrame]) -> int:

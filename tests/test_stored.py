@@ -1,5 +1,6 @@
 """The item index and stored tables: batches against rebuilds, what is read and rewritten, failed batches."""
 
+import json
 import os
 import shutil
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from quillet.operators.item_index import FIELDS, ItemIndex, canonical_items
 from quillet.operators import similarity
 from quillet.operators.tables import StoredTable
+from quillet.plans import QUERIES
+from quillet.sources import media
 
 ITEM = "item_id string, title string, metadata string, text string"
 
@@ -131,3 +134,18 @@ def test_all_pairs_are_brute_force(spark, monkeypatch):
     assert near(got) == near(sorted(want))
     assert sum(a != b for a, b in zip(got, sorted(want), strict=True)) <= 4  # ties of the last digit may fall either way
     assert similarity.similar_all(df.limit(0)).count() == 0
+
+
+def test_written_export_is_json(spark, tmp_path):
+    pieces = QUERIES["export_whole"](spark, "/root/testdata/sf0.001")
+    media.write_export(pieces, str(tmp_path / "out"))
+    folders = sorted(d for d in os.listdir(tmp_path / "out") if d.startswith("collection_id="))
+    assert len(folders) == 25
+    items = 0
+    for d in folders:
+        names = sorted(f for f in os.listdir(tmp_path / "out" / d) if f.startswith("part-"))
+        whole = json.loads("".join((tmp_path / "out" / d / f).read_text() for f in names))
+        assert whole["version"] == 2 and f"collection_id={whole['collection']['id']}" == d
+        assert [(-i["updatedAt"], i["id"]) for i in whole["items"]] == sorted((-i["updatedAt"], i["id"]) for i in whole["items"])
+        items += len(whole["items"])
+    assert items == pieces.where("part = 1").count()
