@@ -11,22 +11,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillet.functions import geometry as g
+from quillet.functions.arrays import let
 from quillet.functions.text import layout_page, preview
 from quillet.operators.relational import merged_text
 
 
+#: What a pair of boxes needs to match at all; boxes that share no area reach 0.1 at most.
+_TIERS = (0.15, 0.25, 0.40)
+
+
 def match_regions(blocks: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
-    """For each block (block_id, label, bbox, group) its best region (region_id, category, bbox, group) on the page by three tiers."""
-    r = regions.select(*key, F.col("region_id"), F.col("category"), F.col("bbox").alias("rbox"), F.col("group").alias("rgroup"))
-    pairs = blocks.join(r, key, "left").withColumn("score", F.when(F.col("rbox").isNotNull(), g.score(F.col("bbox"), F.col("rbox"))))
+    """For each block (block_id, label, bbox, group) its best region (region_id, category, bbox, group) on the page by three tiers: same group, same category, any.
+
+    Each tier asks for more than boxes without common area can reach, so only boxes that meet are paired: a page is cut into cells of its boxes' mean
+    size, a box goes to the cells that it covers, and a pair is scored in the cell of its intersection's corner alone. A block without a match has nulls.
+    """
+    block = blocks.select(*key, "block_id", "label", F.col("bbox").alias("b"), F.col("group").alias("bgroup"))
+    region = regions.select(*key, "region_id", "category", F.col("bbox").alias("r"), F.col("group").alias("rgroup"))
+    sizes = block.select(*key, F.col("b").alias("q")).unionByName(region.select(*key, F.col("r").alias("q"))).groupBy(*key)
+    cell = sizes.agg(*[F.greatest(F.lit(1.0), F.coalesce(F.avg(f"q.{c}"), F.lit(1.0))).alias(n) for c, n in (("width", "__w"), ("height", "__h"))])
+
+    def celled(df: DataFrame, box: str) -> DataFrame:
+        rows = df.join(cell, key)
+        for at, long, step, name in (("x", "width", "__w", "__i"), ("y", "height", "__h", "__j")):
+            low = F.col(f"{box}.{at}")
+            rows = rows.withColumn(name, F.explode(F.sequence(F.floor(low / F.col(step)), F.floor(F.greatest(low, low + F.col(f"{box}.{long}")) / F.col(step)))))
+        return rows
+
+    pairs = celled(block, "b").join(celled(region, "r").drop("__w", "__h"), [*key, "__i", "__j"])
+    corner = lambda c, step: F.floor(F.greatest(f"b.{c}", f"r.{c}") / F.col(step))
+    pairs = pairs.where((F.col("__i") == corner("x", "__w")) & (F.col("__j") == corner("y", "__h"))).withColumn("score", g.score(F.col("b"), F.col("r")))
+    pairs = pairs.where(F.col("score") >= min(_TIERS))
     first = F.struct("score", (-F.col("region_id")).alias("n"))
-    tiers = [
-        ((F.col("group") > 0) & (F.col("group") == F.col("rgroup")), 0.15),
-        (g.category(F.col("label")) == g.category(F.col("category")), 0.25),
-        (F.lit(True), 0.40),
-    ]
-    best = [F.max(F.when(cond & (F.col("score") >= least), first)).alias(f"t{i}") for i, (cond, least) in enumerate(tiers)]
-    found = pairs.groupBy(*key, "block_id").agg(*best)
+    conditions = ((F.col("bgroup") > 0) & (F.col("bgroup") == F.col("rgroup")), g.category(F.col("label")) == g.category(F.col("category")), F.lit(True))
+    best = [F.max(F.when(cond & (F.col("score") >= least), first)).alias(f"t{i}") for i, (cond, least) in enumerate(zip(conditions, _TIERS, strict=True))]
+    found = blocks.select(*key, "block_id").distinct().join(pairs.groupBy(*key, "block_id").agg(*best), [*key, "block_id"], "left")
     pick = F.coalesce("t0", "t1", "t2")
     return found.select(*key, "block_id", (-pick["n"]).alias("region_id"), F.round(pick["score"], 6).alias("score"))
 
@@ -205,23 +224,28 @@ def overlap_columns(regions: DataFrame, key: list[str], least: int = 200) -> Dat
     Columns are numbered as they open. Rows: key, region_id, x, y, width, height.
     """
 
-    def order(pdf: pd.DataFrame) -> list[int]:
-        spans: list[list[float]] = []
-        out = [0] * len(pdf)
-        for i in pdf.sort_values(["x", "y", "region_id"], kind="stable").index:
-            a, b = pdf.at[i, "x"], pdf.at[i, "x"] + pdf.at[i, "width"]
-            shared = [min(b, s[1]) - max(a, s[0]) for s in spans]
-            fits = [k for k, n in enumerate(shared) if n >= min(least, b - a) and n > 0]
-            if fits:
-                k = max(fits, key=lambda k: (shared[k], -k))
-                spans[k] = [min(spans[k][0], a), max(spans[k][1], b)]
-            else:
-                k = len(spans)
-                spans.append([a, b])
-            out[i] = k
-        return out
+    rest = [c for c in regions.columns if c not in (*key, "x", "y", "region_id")]
+    arrays = regions.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("x", "y", "region_id", *rest))).alias("r"))
+    kind = arrays.schema["r"].dataType.elementType.simpleString()
+    state = f"struct<spans: array<struct<a: double, b: double>>, out: array<struct<r: {kind}, k: int>>>"
 
-    return _per_page(regions, key, "column", order)
+    def step(now: Column, r: Column) -> Column:
+        a, b = r["x"].cast("double"), (r["x"] + r["width"]).cast("double")
+        shared = F.transform(now["spans"], lambda s: F.least(b, s["b"]) - F.greatest(a, s["a"]))
+        at = F.coalesce(F.array_position(shared, F.array_max(F.filter(shared, lambda n: (n >= F.least(F.lit(float(least)), b - a)) & (n > 0)))).cast("int"), F.lit(0))
+
+        def placed(k: Column) -> Column:
+            grown = F.transform(now["spans"], lambda s, i: F.when(i == k - 1, F.struct(F.least(a, s["a"]).alias("a"), F.greatest(b, s["b"]).alias("b"))).otherwise(s))
+            spans = F.when(k == 0, F.concat(now["spans"], F.array(F.struct(a.alias("a"), b.alias("b"))))).otherwise(grown)
+            own = F.when(k == 0, F.size(now["spans"])).otherwise(k - 1)
+            return F.struct(spans.alias("spans"), F.concat(now["out"], F.array(F.struct(r.alias("r"), own.alias("k")))).alias("out")).cast(state)
+
+        return let(at, placed)
+
+    none = F.struct(F.array().alias("spans"), F.array().alias("out")).cast(state)
+    found = F.aggregate(F.col("r").cast(f"array<{kind}>"), none, step, lambda now: now["out"])
+    rows = arrays.select(*key, F.explode(found).alias("o")).select(*key, "o.r.*", F.col("o.k").alias("column"))
+    return rows.select(*regions.columns, "column")
 
 
 def gap_filled_order(regions: DataFrame, key: list[str], apart: int = 15, gap: int = 4, share: float = 0.3, wide: float = 0.6) -> DataFrame:

@@ -428,7 +428,18 @@ def layout_overlap_iou(spark, sf):
     return b.select("l_orderkey", "l_linenumber", F.round(g.overlap(F.col("a"), F.col("b")), 6).alias("overlap"), F.round(g.iou(F.col("a"), F.col("b")), 6).alias("iou"), F.round(g.score(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query()
+_CATEGORY = "CASE {} WHEN 'doc_title' THEN 'title' WHEN 'text' THEN 'plain_text' WHEN 'paragraph' THEN 'plain_text' WHEN 'image' THEN 'figure' ELSE {} END"
+
+
+@query(f"""
+    WITH b AS (SELECT l_orderkey, l_linenumber AS block_id, ['doc_title', 'text', 'table_body', 'image', 'footnote', 'paragraph'][l_partkey % 6 + 1] AS label, l_partkey % 3 AS bg, x.ax, x.ay, x.aw, x.ah FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 97)::DOUBLE AS ax, (l_suppkey % 89)::DOUBLE AS ay, (20 + l_partkey % 50)::DOUBLE AS aw, (10 + l_suppkey % 40)::DOUBLE AS ah FROM lineitem) x),
+    r AS (SELECT l_orderkey, l_linenumber AS region_id, ['doc_title', 'text', 'table_body', 'image', 'footnote', 'paragraph'][l_suppkey % 6 + 1] AS category, l_suppkey % 3 AS rg, (l_suppkey % 97)::DOUBLE AS bx, (l_partkey % 89)::DOUBLE AS "by", (20 + l_suppkey % 50)::DOUBLE AS bw, (10 + l_partkey % 40)::DOUBLE AS bh FROM lineitem),
+    i AS (SELECT *, greatest(least(ax + aw, bx + bw) - greatest(ax, bx), 0) * greatest(least(ay + ah, "by" + bh) - greatest(ay, "by"), 0) AS i FROM b JOIN r USING (l_orderkey)),
+    s AS (SELECT *, 0.6 * (i / least(aw * ah, bw * bh)) + 0.3 * (i / (aw * ah + bw * bh - i)) + 0.1 * greatest(0, 1 - sqrt((ax + aw / 2 - bx - bw / 2) ** 2 + (ay + ah / 2 - "by" - bh / 2) ** 2) / greatest(sqrt(aw * aw + ah * ah), sqrt(bw * bw + bh * bh), 1)) AS score FROM i),
+    t AS (SELECT *, CASE WHEN bg > 0 AND bg = rg AND score >= 0.15 THEN 1 WHEN {_CATEGORY.format("label", "label")} = {_CATEGORY.format("category", "category")} AND score >= 0.25 THEN 2 WHEN score >= 0.4 THEN 3 END AS tier FROM s),
+    p AS (SELECT l_orderkey, block_id, region_id, score FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l_orderkey, block_id ORDER BY tier, score DESC, region_id) = 1)
+    SELECT DISTINCT b.l_orderkey, b.block_id, p.region_id, round(p.score, 6) AS score FROM b LEFT JOIN p ON p.l_orderkey = b.l_orderkey AND p.block_id = b.block_id
+""")
 def layout_block_region_match(spark, sf):
     b = _boxes(spark, sf)
     names = F.array(*[F.lit(x) for x in ("doc_title", "text", "table_body", "image", "footnote", "paragraph")])

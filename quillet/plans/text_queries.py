@@ -359,9 +359,9 @@ def page_geometry(spark, sf):
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", g.clamped(F.col("l_quantity") / 40).alias("c"), g.pixels(wide, F.lit(1700), F.lit(2200))["x"].alias("px"), small["width"].alias("width"), lay.box_label(box).alias("label"))
 
 
-def _region_rows(spark, sf):
+def _region_rows(spark, sf, pages: int | None = 200):
     k = F.col("l_orderkey")
-    return read(spark, sf, "lineitem").select((k % 200).alias("page"), F.concat_ws("-", k, "l_linenumber", "l_partkey", "l_suppkey").alias("region_id"), (F.col("l_partkey") % 900).cast("int").alias("x"), (F.col("l_suppkey") * 7 % 1100).cast("int").alias("y"), (F.col("l_partkey") % 300 + 40).cast("int").alias("width"), (F.col("l_suppkey") % 40 + 8).cast("int").alias("height"))
+    return read(spark, sf, "lineitem").select((k % pages if pages else k).alias("page"), F.concat_ws("-", k, "l_linenumber", "l_partkey", "l_suppkey").alias("region_id"), (F.col("l_partkey") % 900).cast("int").alias("x"), (F.col("l_suppkey") * 7 % 1100).cast("int").alias("y"), (F.col("l_partkey") % 300 + 40).cast("int").alias("width"), (F.col("l_suppkey") % 40 + 8).cast("int").alias("height"))
 
 
 @query()
@@ -369,11 +369,28 @@ def reading_order_gaps(spark, sf):
     return lay.gap_filled_order(_region_rows(spark, sf), ["page"])
 
 
-@query()
+def _overlap_sql(page: str) -> str:
+    return f"""
+        WITH RECURSIVE r AS (SELECT {page} AS page, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS region_id, (l_partkey % 900)::INTEGER AS x, (l_suppkey * 7 % 1100)::INTEGER AS y, (l_partkey % 300 + 40)::INTEGER AS width, (l_suppkey % 40 + 8)::INTEGER AS height FROM lineitem),
+        e AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x, y, region_id) AS n FROM r),
+        f AS (SELECT page, n, [struct_pack(a := x, b := x + width)] AS spans, 0 AS k FROM e WHERE n = 1
+              UNION ALL SELECT page, n, CASE WHEN pos = 0 THEN list_append(spans, struct_pack(a := a, b := b)) ELSE list_concat(spans[1:pos - 1], [struct_pack(a := least(a, spans[pos].a), b := greatest(b, spans[pos].b))], spans[pos + 1:len(spans)]) END, CAST(CASE WHEN pos = 0 THEN len(spans) ELSE pos - 1 END AS INTEGER)
+              FROM (SELECT *, coalesce(list_position(shared, list_max(list_filter(shared, lambda s: s >= least(200, b - a) AND s > 0))), 0) AS pos
+                    FROM (SELECT e.page, e.n, f.spans, e.x AS a, e.x + e.width AS b, list_transform(f.spans, lambda s: least(e.x + e.width, s.b) - greatest(e.x, s.a)) AS shared FROM f JOIN e ON e.page = f.page AND e.n = f.n + 1)))
+        SELECT e.page, region_id, x, y, width, height, f.k AS "column" FROM e JOIN f ON f.page = e.page AND f.n = e.n
+    """
+
+
+@query(_overlap_sql("l_orderkey % 200"))
 def columns_by_overlap(spark, sf):
     return lay.overlap_columns(_region_rows(spark, sf), ["page"])
 
 
+@query(_overlap_sql("l_orderkey"))
+def columns_by_overlap_pages(spark, sf):
+    return lay.overlap_columns(_region_rows(spark, sf, None), ["page"])
+
+
 @query()
 def columns_by_grid(spark, sf):
     return lay.grid_columns(_region_rows(spark, sf), ["page"])
