@@ -14,6 +14,7 @@ from quillet.operators import pages
 from quillet.operators import relational as rel
 from quillet.operators import search as fts
 from quillet.operators import vectors as vec
+from quillet.operators import windows as win
 from quillet.plans.registry import ORACLES, QUERIES, query
 from quillet.sources import corpus
 from quillet.sources.corpus import read
@@ -385,10 +386,53 @@ def ner_bio_aggregate(spark, sf):
 
 @query("SELECT doc_id, w AS start, least(w + 256, n) AS stop FROM (SELECT doc_id, n, unnest(range(0, CASE WHEN n > 256 THEN ((n - 256 + 223) // 224) * 224 ELSE 0 END + 1, 224)) AS w FROM (SELECT doc_id, n_chars AS n FROM documents))")
 def ner_token_windows(spark, sf):
-    n = F.col("n_chars")
-    last = F.when(n > 256, F.floor((n - 256 + 223) / 224) * 224).otherwise(0).cast("long")
-    d = read(spark, sf, "documents").select("doc_id", n, F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(224).cast("long"))).alias("start"))
-    return d.select("doc_id", "start", F.least(F.col("start") + 256, n).alias("stop"))
+    d = read(spark, sf, "documents").select("doc_id", F.explode(de.windows(F.col("n_chars"))).alias("w"))
+    return d.select("doc_id", "w.start", F.col("w.end").alias("stop"))
+
+
+_TOKENS = r"""
+    g AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w, string_split_regex(text, '[\p{L}\p{N}]+') AS gaps FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT doc_id, k - 1 AS i, w[k] AS v, length(w[k]) AS n, length(gaps[k]) AS gap FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM g)),
+    tok AS (SELECT doc_id, i, v, n, CAST(sum(gap + n) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS start FROM t)
+"""
+_TAGS = "CASE n WHEN 9 THEN 'B-PER' WHEN 10 THEN 'I-PER' WHEN 11 THEN 'B-LOC' WHEN 12 THEN 'I-LOC' WHEN 13 THEN 'B-MISC' ELSE 'O' END"
+
+
+def _tokens(spark, sf):
+    d = read(spark, sf, "documents").where("text is not null")
+    found = d.select("doc_id", F.posexplode(win.token_spans(F.col("text"))).alias("i", "m"))
+    return found.select("doc_id", F.col("i").cast("long").alias("i"), F.col("m.token").alias("v"), "m.start", "m.end")
+
+
+_WINDOWED = """w AS (SELECT tok.doc_id, i, v, n, start, start + n AS "end", 224 * k AS win FROM tok JOIN (SELECT doc_id, max(i) + 1 AS total FROM tok GROUP BY doc_id) z ON z.doc_id = tok.doc_id,
+    LATERAL (SELECT unnest(range(greatest(0, CAST(ceil((i - 255) / 224) AS BIGINT)), least(i // 224, CASE WHEN total > 256 THEN CAST(ceil((total - 256) / 224) AS BIGINT) ELSE 0 END) + 1)) AS k))"""
+
+
+@query(f"WITH {_TOKENS}, {_WINDOWED} SELECT doc_id, win AS \"window\", count(*) AS tokens, min(i) AS first_token, min(start) AS start, max(\"end\") AS \"end\" FROM w GROUP BY doc_id, win")
+def ner_window_tokens(spark, sf):
+    rows = win.token_windows(_tokens(spark, sf), "doc_id")
+    return rows.groupBy("doc_id", "window").agg(F.count(F.lit(1)).alias("tokens"), F.min("i").alias("first_token"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+@query(_fold(
+    f"""WITH {_TOKENS}, {_WINDOWED}, p AS (SELECT *, {_TAGS} AS label, (start % 7 + 3) / 10.0::DOUBLE AS score FROM w),
+    edge AS (SELECT doc_id, win, min(start) AS ws, max("end") AS we, max(win) OVER (PARTITION BY doc_id) AS lastwin FROM p GROUP BY doc_id, win),
+    good AS (SELECT *, substr(label, 3) AS kind FROM p WHERE label <> 'O' AND score >= CASE WHEN label LIKE '%MISC' THEN 0.65 ELSE 0.3 END),
+    o AS (SELECT *, CASE WHEN coalesce(lag(kind) OVER q <> kind, TRUE) OR (label LIKE 'B-%' AND start > lag("end") OVER q) THEN 1 ELSE 0 END AS opens FROM good WINDOW q AS (PARTITION BY doc_id, win ORDER BY i)),
+    grp AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, win ORDER BY i ROWS UNBOUNDED PRECEDING) AS grp FROM o),
+    spans AS (SELECT doc_id, win, min(kind) AS kind, min(start) AS start, max("end") AS "end", round(avg(score), 6) AS confidence FROM grp GROUP BY doc_id, win, grp),
+    kept AS (SELECT s.* FROM spans s JOIN edge e ON e.doc_id = s.doc_id AND e.win = s.win WHERE NOT (s.win <> 0 AND s.start <= e.ws) AND NOT (s.win <> e.lastwin AND s."end" >= e.we))
+    SELECT kept.doc_id AS item_id, CASE kind WHEN 'PER' THEN 'person' WHEN 'LOC' THEN 'place' ELSE 'misc' END AS entity_type, substr(text, kept.start + 1, kept."end" - kept.start) AS value, kept.start, kept."end", confidence, 'onnx' AS source FROM kept JOIN documents USING (doc_id)""",
+    f"{_ENTITY}, g, n, q", 'start, "end", value, entity_type, confidence',
+    rf"""{_FAMILY}, lower(regexp_replace(value, '\s+', ' ', 'g')) AS n, {_LETTERS_SQL} + 50 + CASE WHEN contains(value, ' ') THEN 10 ELSE 0 END + 5 + "end" - start + CASE WHEN confidence >= 0.9 THEN 5 ELSE 0 END AS q""",
+    f"""k.g = x.g AND ({_OVER} OR ((abs(k.start - x.start) <= 24 OR abs(k."end" - x."end") <= 24) AND (contains(k.n, x.n) OR contains(x.n, k.n))))""", "x.q > k.q",
+))
+def ner_windowed_predictions(spark, sf):
+    # a model's answers as a table: tags by the length of a token
+    rows = win.token_windows(_tokens(spark, sf), "doc_id")
+    tag = F.get(F.array(*[F.lit(x) for x in ("B-PER", "I-PER", "B-LOC", "I-LOC", "B-MISC")]), (F.length("v") - 9).cast("int"))
+    said = rows.select("doc_id", "window", "i", "start", "end", F.coalesce(tag, F.lit("O")).alias("label"), ((F.col("start") % 7 + 3) / 10.0).alias("score"))
+    return win.windowed_entities(said, read(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "item_id")
 
 
 @query(rf"""
