@@ -195,11 +195,12 @@ def bio_spans(pieces: DataFrame, key: str, order: list[str]) -> DataFrame:
     return grouped.groupBy(key, "g").agg(F.first("entity_type").alias("entity_type"), F.min("start").alias("start"), F.max("end").alias("end"), F.round(F.avg("score"), 6).alias("confidence"), F.count(F.lit(1)).alias("n")).drop("g")
 
 
-def triples(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, subject, predicate, object) of sentences with one of the listed verbs."""
-    parts = docs.select(key, F.explode(F.split(text, r"[.;\n]")).alias("s"))
+def triples(docs: DataFrame, key: str, text: str, placed: bool = False) -> DataFrame:
+    """(key, subject, predicate, object) of sentences with one of the listed verbs; ``placed`` adds the sentence's place."""
+    parts = docs.select(key, F.posexplode(F.split(text, r"[.;\n]")).alias("place", "s"))
     g = lambda i: F.trim(F.regexp_extract("s", TRIPLE, i))
-    return parts.select(key, g(1).alias("subject"), g(2).alias("predicate"), g(3).alias("object")).where("subject <> '' and predicate <> '' and object <> ''")
+    own = ["place"] if placed else []
+    return parts.select(key, *own, g(1).alias("subject"), g(2).alias("predicate"), g(3).alias("object")).where("subject <> '' and predicate <> '' and object <> ''")
 
 
 def distinct_triples(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillet.operators import enrich
 from quillet.operators.item_index import ItemIndex, canonical_items
 from quillet.operators.similarity import similar_all
 from quillet.operators.tables import StoredTable
-from quillet.plans.corpus_queries import STRICT, _bm25
+from quillet.operators.entities import TRIPLE
+from quillet.plans import store_queries as sq
+from quillet.plans.corpus_queries import _NOTE, _PATTERNS, STRICT, _bm25
 from quillet.plans.registry import query
 from quillet.operators import search as fts
+from quillet.sources import corpus
 from quillet.sources.corpus import read
 from quillet.sources.shared import new_path
 
@@ -107,3 +111,55 @@ def stored_replace_and_cascade(spark, sf):
 """)
 def similar_assets_all_pairs(spark, sf):
     return similar_all(read(spark, sf, "embeddings"))
+
+
+def _passages(spark, sf):
+    """The corpus store, its assets' extractions being passages."""
+    s = corpus.store(spark, sf)
+    text = corpus.notes_text(spark, sf).select(F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("o"), F.col("doc_id").cast("string")).alias("asset_id"), F.col("text").alias("text_content"), F.col("doc_id").alias("created_at"))
+    rows = text.withColumns({"method": F.lit("ocr"), "confidence": F.lit(1.0)})
+    return s.set(extractions=rows.select(*s["extractions"].columns))
+
+
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS value, text FROM {_NOTE}" for name, p in _PATTERNS)
+
+
+@query(f"""
+    WITH m AS ({_FOUND}),
+    c AS (SELECT 'c' || o_custkey AS item_id, 'o' || doc_id AS asset_id, entity_type, value, strpos(text, value) - 1 AS start_offset, strpos(text, value) - 1 + length(value) AS end_offset, 1.0::DOUBLE AS confidence, 'rule_based' AS source FROM m JOIN orders ON o_orderkey = doc_id),
+    e AS (SELECT *, start_offset + 5 AS end_offset, (o % 100) / 100.0::DOUBLE AS confidence FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS o FROM {sq._ENTITIES})),
+    g AS (SELECT c.*, CASE WHEN entity_type = 'institution' THEN 'organization' ELSE entity_type END AS g FROM c)
+    SELECT item_id, asset_id, entity_type, value, start_offset, end_offset, confidence, source FROM e WHERE {sq._MANUAL} OR NOT EXISTS (SELECT 1 FROM orders WHERE 'c' || o_custkey = e.item_id AND 'o' || o_orderkey = e.asset_id)
+    UNION ALL SELECT item_id, asset_id, entity_type, value, start_offset, end_offset, confidence, source FROM g WHERE NOT EXISTS (
+        SELECT 1 FROM e p WHERE {sq._MANUAL.replace("source", "p.source")} AND p.item_id = g.item_id AND CASE WHEN p.entity_type = 'institution' THEN 'organization' ELSE p.entity_type END = g.g AND (lower(p.value) = lower(g.value) OR (g.start_offset < p.end_offset AND p.start_offset < g.end_offset)))
+""")
+def enrich_asset_entities(spark, sf):
+    s = _passages(spark, sf)
+    after = enrich.with_entities(s, enrich.asset_texts(s), 1, kind="rule")
+    return after["entities"].select("item_id", "asset_id", "entity_type", "value", "start_offset", "end_offset", "confidence", "source")
+
+
+@query(f"""
+    WITH x AS (SELECT 'c' || o_custkey AS item_id, string_agg(text, ' ' ORDER BY o_orderkey % 5, o_orderkey) AS e FROM {_NOTE} n JOIN orders ON o_orderkey = n.doc_id GROUP BY o_custkey),
+    y AS (SELECT item_id, string_agg(t.text_content, ' ' ORDER BY sort_index, t.created_at, t.text_content) AS t FROM {sq._TRANSCRIPTIONS} t JOIN {sq._ASSETS} a ON a.id = t.asset_id GROUP BY item_id),
+    w AS (SELECT coalesce(x.item_id, y.item_id) AS item_id, concat_ws(' ', e, t) AS text FROM x FULL JOIN y USING (item_id)),
+    s AS (SELECT item_id, unnest(string_split_regex(text, '[.;\n]')) AS s, '{TRIPLE}' AS p FROM w),
+    r AS (SELECT item_id, trim(regexp_extract(s, p, 1)) AS subject, trim(regexp_extract(s, p, 2)) AS predicate, trim(regexp_extract(s, p, 3)) AS object FROM s)
+    SELECT DISTINCT item_id, subject, predicate, object FROM r WHERE subject <> '' AND predicate <> '' AND object <> '' AND item_id IN (SELECT id FROM {sq._ITEMS})
+    UNION ALL SELECT r.item_id, r.subject, 'es', 'o' || (substr(r.id, 2)::BIGINT % 11) FROM {sq._TRIPLES} r WHERE item_id NOT IN (SELECT id FROM {sq._ITEMS})
+""")
+def enrich_item_triples(spark, sf):
+    s = _passages(spark, sf)
+    return enrich.with_triples(s, enrich.item_texts(s), 1)["triples"].select("item_id", "subject", "predicate", "object")
+
+
+@query(f"""
+    WITH a AS (SELECT id AS asset_id, EXISTS (SELECT 1 FROM {sq._EXTRACTIONS} e WHERE e.asset_id = a.id) OR EXISTS (SELECT 1 FROM {sq._TRANSCRIPTIONS} t WHERE t.asset_id = a.id) AS has, EXISTS (SELECT 1 FROM {sq._VECTORS} v WHERE v.asset_id = a.id) AS had, substr(id, 2)::BIGINT % 3 > 0 AS given FROM {sq._ASSETS} a)
+    SELECT 'missing' AS run, count_if(has) AS with_text, count_if(has AND NOT had) AS candidates, count_if(has AND NOT had AND given) AS embedded, count_if(has AND NOT had AND NOT given) AS failed, count_if(has AND NOT had AND NOT given) AS missing FROM a
+    UNION ALL SELECT 'all', count_if(has), count_if(has), count_if(has AND given), count_if(has AND NOT given), count_if(has AND NOT had AND NOT given) FROM a
+""")
+def embedding_backfill_report(spark, sf):
+    s = corpus.store(spark, sf)
+    given = s["assets"].select(F.col("id").alias("asset_id"), F.array(F.lit(0.5).cast("float"), F.lit(1.0).cast("float")).alias("embedding")).where("cast(substring(asset_id, 2) as long) % 3 > 0")
+    runs = [enrich.backfilled(s, given, force)[1].select(F.lit(name).alias("run"), "*") for name, force in (("missing", False), ("all", True))]
+    return runs[0].unionByName(runs[1])
