@@ -155,9 +155,10 @@ def collections_non_empty(spark, sf):
     return read(spark, sf, "customer").join(read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def collections_empty(spark, sf):
-    return rel.orphans(read(spark, sf, "customer"), "c_custkey", read(spark, sf, "orders"), "o_custkey").select("c_custkey", "c_name")
+    urgent = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return rel.orphans(read(spark, sf, "customer"), "c_custkey", urgent, "o_custkey").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, count(o_orderkey) AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")

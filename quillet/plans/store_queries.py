@@ -166,12 +166,12 @@ def store_unlink_topics(spark, sf):
     return corpus.store(spark, sf).unlink_topic("c4")["item_topics"].agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("item_id") == "c4").alias("of_item"))
 
 
-@query(f"""SELECT id, CASE WHEN id = 'j4' THEN 'running' ELSE status END AS status, CASE WHEN id = 'j4' THEN 40 END AS progress FROM {_JOBS} WHERE created_at < 50""")
+@query(f"""SELECT id, CASE WHEN id = 'j4' THEN 'running' ELSE status END AS status, CASE WHEN id = 'j4' THEN 40 END AS progress FROM {_JOBS}""")
 def store_update_job(spark, sf):
     from quillet.functions.jsons import progress_of
 
     j = corpus.store(spark, sf).update_job("j4", 77, status="running", progress=40)["jobs"]
-    return j.where("created_at < 50").select("id", "status", progress_of(F.col("result")).alias("progress"))
+    return j.select("id", "status", progress_of(F.col("result")).alias("progress"))
 
 
 @query(f"SELECT id, asset_id FROM {_JOBS} QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY created_at DESC, id DESC) = 1")
@@ -179,10 +179,10 @@ def store_newest_job(spark, sf):
     return newest(corpus.store(spark, sf)["jobs"], "asset_id").select("id", "asset_id")
 
 
-@query("SELECT 'llr-asset-o1-summary' AS id, 'second' AS result, 9::BIGINT AS created_at")
+@query(f"SELECT id, target_id, target_type, job_type, created_at, NULL AS written FROM {_RESULTS} UNION ALL SELECT 'llr-asset-o1-summary', 'o1', 'asset', 'summary', 9, 'second'")
 def store_put_result(spark, sf):
     s = corpus.store(spark, sf).put_result("o1", "asset", "summary", "first", 8).put_result("o1", "asset", "summary", "second", 9)
-    return s.result_for("o1", "asset", "summary").select("id", "result", "created_at")
+    return s["llm_results"].select("id", "target_id", "target_type", "job_type", "created_at", F.when(F.col("id").startswith("llr-"), F.col("result")).alias("written"))
 
 
 @query("SELECT n_name AS key, CASE WHEN n_nationkey = 1 THEN 'set' ELSE n_regionkey::VARCHAR END AS value FROM nation WHERE n_nationkey < 5 AND n_nationkey <> 2")
@@ -266,15 +266,28 @@ def geocode_job_counts(spark, sf):
     return geocode_counts(geocoded(corpus.store(spark, sf)["entities"], gazetteer))
 
 
-@query("SELECT * FROM (VALUES (1, 'collections'), (2, 'items'), (3, 'assets'), (4, 'notes'), (5, 'jobs'), (6, 'extractions'), (7, 'transcriptions'), (8, 'entities'), (9, 'triples'), (10, 'topics'), (11, 'item_topics'), (12, 'vec_assets'), (13, 'layouts'), (14, 'llm_results'), (15, 'annotations')) v(place, name)")
+_TABLES = {
+    "collections": _COLLECTIONS, "items": _ITEMS, "assets": _ASSETS, "notes": _NOTES, "jobs": _JOBS, "extractions": _EXTRACTIONS, "transcriptions": _TRANSCRIPTIONS, "entities": _ENTITIES, "triples": _TRIPLES,
+    "topics": _TOPICS, "item_topics": _LINKS, "vec_assets": _VECTORS, "layouts": _LAYOUTS, "llm_results": _RESULTS, "annotations": _ANNOTATIONS,
+}
+
+
+@query(" UNION ALL ".join(f"SELECT {k + 1} AS place, '{n}' AS name, (SELECT count(*) FROM {q}) AS \"rows\"" for k, (n, q) in enumerate(_TABLES.items())))
 def browser_tables(spark, sf):
-    return spark.createDataFrame(list(enumerate(corpus.table_list(corpus.store(spark, sf).tables), 1)), "place int, name string")
+    s, out = corpus.store(spark, sf), None
+    for k, name in enumerate(corpus.table_list(s.tables), 1):
+        row = s[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("place"), F.lit(name).alias("name"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
-@query("SELECT * FROM (VALUES ('key', 'string', TRUE), ('value', 'string', FALSE)) v(name, type, is_primary_key)")
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, '{t}' AS type, {n == 'id'} AS is_primary_key, (SELECT count({n}) FROM {_ITEMS}) AS present, (SELECT count(DISTINCT {n}) FROM {_ITEMS}) AS different" for n, t in (("id", "string"), ("title", "string"), ("collection_id", "string"), ("metadata", "string"), ("created_at", "bigint"), ("updated_at", "bigint"))))
 def browser_describe(spark, sf):
-    found = corpus.described("app_settings", corpus.store(spark, sf)["app_settings"])
-    return spark.createDataFrame([(c["name"], c["type"], c["is_primary_key"]) for c in found], "name string, type string, is_primary_key boolean")
+    items = corpus.store(spark, sf)["items"]
+    found = corpus.described("items", items)
+    counts = items.agg(*[f(c["name"]).alias(f"{n}_{c['name']}") for c in found for n, f in (("p", F.count), ("d", F.countDistinct))])  # one row
+    rows = F.explode(F.array(*[F.struct(F.lit(c["name"]).alias("name"), F.lit(c["type"]).alias("type"), F.lit(c["is_primary_key"]).alias("is_primary_key"), F.col(f"p_{c['name']}").alias("present"), F.col(f"d_{c['name']}").alias("different")) for c in found]))
+    return counts.select(rows.alias("r")).select("r.*")
 
 
 @query("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"raw\":\"' || base64(n_name::BLOB) || '\",\"none\":null}' AS row FROM nation")

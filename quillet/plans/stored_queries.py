@@ -8,7 +8,7 @@ from quillet.operators import enrich
 from quillet.operators.item_index import ItemIndex, canonical_items
 from quillet.operators.similarity import similar_all
 from quillet.operators.tables import StoredTable
-from quillet.operators.entities import TRIPLE
+from quillet.operators.entities import TRIPLE, VERBS
 from quillet.plans import store_queries as sq
 from quillet.plans.corpus_queries import _NOTE, _PATTERNS, STRICT, _bm25
 from quillet.plans.registry import query

@@ -327,14 +327,25 @@ def layout_texts(spark, sf):
     return _blocks(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", lay.block_text(F.col("label"), F.col("content")).alias("block"), lay.region_text(category, F.concat(F.lit(" "), "content")).alias("region"))
 
 
+@query("""
+    SELECT l_orderkey, l_linenumber AS block_id, 'c' || l_suppkey AS preview, 'region' AS overlay_source, (l_partkey % 97)::DOUBLE AS x, (l_suppkey % 89)::DOUBLE AS y FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1
+""")
+def layout_block_overlays(spark, sf):
+    views = _views(spark, sf)
+    return views.select("l_orderkey", "block_id", "preview", "overlay_source", F.col("overlay_bbox.x").alias("x"), F.col("overlay_bbox.y").alias("y"))
+
+
 @query("SELECT l_orderkey, count(*) AS views, count_if(fits)::BIGINT AS matched, min(prev) AS first_preview FROM (SELECT l_orderkey, 'c' || l_suppkey AS prev, TRUE AS fits FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1) GROUP BY l_orderkey")
 def layout_block_views(spark, sf):
+    return _views(spark, sf).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("views"), F.count_if(F.col("overlay_source") == "region").alias("matched"), F.min("preview").alias("first_preview"))
+
+
+def _views(spark, sf):
     one = rel.latest(_blocks(spark, sf), ["l_orderkey", "l_linenumber"], F.asc("l_partkey"), F.asc("l_suppkey"))
     box = g.box(F.col("l_partkey") % 97, F.col("l_suppkey") % 89, F.lit(10), F.lit(10))
     b = one.select("l_orderkey", F.col("l_linenumber").alias("block_id"), "label", "content", box.alias("bbox"), F.lit(None).cast("int").alias("order"), F.lit(0).alias("group"), "page")
     r = one.select("l_orderkey", F.col("l_linenumber").alias("region_id"), F.col("label").alias("category"), box.alias("bbox"), F.lit(0).alias("group"), "page")
-    views = lay.block_views(b, r, ["l_orderkey"])
-    return views.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("views"), F.count_if(F.col("overlay_source") == "region").alias("matched"), F.min("preview").alias("first_preview"))
+    return lay.block_views(b, r, ["l_orderkey"])
 
 
 @query("SELECT l_orderkey, string_agg('p' || l_suppkey, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY l_linenumber) AS text FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1) GROUP BY l_orderkey")
