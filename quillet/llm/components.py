@@ -2,6 +2,7 @@
 
 Each round links every node's larger neighbours to its smallest one, then its smaller ones likewise; both are a
 map-side combined minimum and a join, so a hub costs one row a map task, and edges never outgrow the input.
+The minimum is a written table of its own, so the edges meet it in a plain join that can be broadcast, or split at a hub.
 Rounds are written to the shared folder. Rounds grow with the logarithm of the number of nodes.
 """
 
@@ -15,12 +16,12 @@ from quillet.llm.common import staged
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = staged(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     down = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return down.union(least.select("a", F.col("m").alias("b")))
 
@@ -37,7 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = staged(now, "edges")
     while not _stars_only(now):
-        now = staged(_small_star(_large_star(now)).distinct(), "star")
+        now = staged(_small_star(staged(_large_star(now), "star")).distinct(), "star")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
