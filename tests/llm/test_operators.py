@@ -333,6 +333,31 @@ def test_topk(spark):
     assert sorted(map(tuple, topk.top_k(d, F.col("vec_id") % 100 == 0).collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("large", [3e9, 1e17])
+def test_topk_of_large_numbers_and_clashing_columns(spark, large):
+    r = random.Random(6)
+    v = [(i, [r.choice([-1.0, 0.5, 1.0]) * (large if r.random() < 0.3 else 1) for _ in range(4)]) for i in range(120)] + [(None, [1.0] * 4)]
+    d = spark.createDataFrame([(i, x, 1, 2, b"x", 3, 4) for i, x in v], "vec_id long, embedding array<double>, row int, dim int, cells binary, score int, query_id int").repartition(3)
+    ends = lambda n: min(max(n, -(2**63)), 2**63 - 1)
+    whole = {i: [ends(int(x * 1024 // 1)) for x in xs] for i, xs in v if i is not None}
+    want = []
+    for q in (0, 100):
+        best = sorted((-ends(sum(a * b for a, b in zip(whole[q], y, strict=True))), i) for i, y in whole.items() if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(d, F.col("vec_id") % 100 == 0).collect())) == sorted(want)
+
+
+def test_topk_by_blocks_and_of_many_equal_vectors(spark):
+    v = [(i, [1.0, 0.5, 0.0] if i % 3 else [float(i % 7), 1.0, -0.25]) for i in range(400)]
+    d = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(4)
+    whole = {i: [int(x * 1024 // 1) for x in xs] for i, xs in v}
+    want = []
+    for q in range(0, 400, 20):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], y, strict=True)), i) for i, y in whole.items() if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(d, F.col("vec_id") % 20 == 0, block=7).collect())) == sorted(want)
+
+
 def test_language(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.LanguageModel.train(d.where("doc_id % 2 = 0").select("doc_id", "text", "lang"))
