@@ -10,7 +10,8 @@ The model is bounded by its parameters and the number of languages, not by the c
 
 Defined results: null text and text without a letter are ``und`` with score 0, and so is all text if nothing was learned; ties
 go to the language first by name; repeated rows are predicted alike; an empty table gives an empty result; columns
-besides doc_id and text (and lang, in training) are never looked at.
+besides doc_id and text (and lang, in training) are never looked at. Rows without doc_id are predicted like any other;
+op6 does not learn from them, and its held_out is null there.
 """
 
 from __future__ import annotations

@@ -366,6 +366,38 @@ def test_language(spark):
     assert model.predict(None) == ("und", 0.0) and model.predict("12 !") == ("und", 0.0)
 
 
+def test_language_of_repeated_long_and_clashing_rows(spark, docs, data):
+    train = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog sat on the mat", "en"), ("le chat et le chien sur la table", "fr")] * 20)]
+    model = langid.LanguageModel.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    more = [(None, "the dog", None), (None, None, None), (7001, "le chien " * 200_000, "en"), (7002, "the cat " * 200_000, "fr")]
+    d = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string"), allowMissingColumns=True)
+    d = d.withColumns({"lang_pred": F.lit("x"), "score": F.lit(7), "held_out": F.lit("y")})
+    got = sorted(map(tuple, model.score(d).collect()), key=repr)
+    texts = [(x[0], x[1]) for x in data] + [(i, t) for i, t, _ in more]
+    assert got == sorted(((i, *model.predict(t)) for i, t in texts), key=repr)
+    by_id = {i: (p, s) for i, p, s in got if i in (7001, 7002)}
+    assert by_id[7001][0] == "fr" and by_id[7002][0] == "en" and all(0 <= s <= 1 for _, _, s in got)
+
+
+def test_quality_of_repeated_long_and_clashing_rows(spark, docs, data):
+    model = quality.QualityModel.train(docs)
+    more = [(None, "A plain sentence about a garden."), (None, None), (7001, "word " * 400_000)]
+    d = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True).withColumn("score", F.lit("x"))
+    got = model.score(d).collect()
+    texts = [(x[0], x[1]) for x in data] + more
+    assert sorted((r[0] is None, r[0] or 0) for r in got) == sorted((i is None, i or 0) for i, _ in texts)
+    each = {}
+    for i, t in texts:
+        each.setdefault(i, set()).add(t)
+    one = {}
+    for r in got:
+        assert 0 <= r[1] <= 1
+        if len(each[r[0]]) == 1:
+            assert one.setdefault(r[0], r[1]) == r[1]  # a repeated row scores as the first
+    kept = quality.keep_good(d, model, 0.5)
+    assert kept.columns == d.columns and kept.count() == sum(r[1] >= 0.5 for r in got)
+
+
 def test_quality(spark, docs):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
