@@ -301,8 +301,11 @@ def ner_decode_chunks(spark, sf):
 # layouts
 
 def _blocks(spark, sf):
+    return _as_blocks(read(spark, sf, "lineitem"))
+
+
+def _as_blocks(li):
     labels = ("doc_title", "text", "table", "image", "vision_footnote", "paragraph")
-    li = read(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _picked(labels, F.col("l_partkey") % 6).alias("label"), (F.col("l_linenumber") - 2).alias("page"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("content"))
 
 
@@ -341,7 +344,7 @@ def layout_block_views(spark, sf):
 
 
 def _views(spark, sf):
-    one = rel.latest(_blocks(spark, sf), ["l_orderkey", "l_linenumber"], F.asc("l_partkey"), F.asc("l_suppkey"))
+    one = _as_blocks(rel.latest(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber"], F.asc("l_partkey"), F.asc("l_suppkey")))
     box = g.box(F.col("l_partkey") % 97, F.col("l_suppkey") % 89, F.lit(10), F.lit(10))
     b = one.select("l_orderkey", F.col("l_linenumber").alias("block_id"), "label", "content", box.alias("bbox"), F.lit(None).cast("int").alias("order"), F.lit(0).alias("group"), "page")
     r = one.select("l_orderkey", F.col("l_linenumber").alias("region_id"), F.col("label").alias("category"), box.alias("bbox"), F.lit(0).alias("group"), "page")
