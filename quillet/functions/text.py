@@ -44,7 +44,8 @@ def strip(text: Column) -> Column:
 
 def sanitize_value(text: Column) -> Column:
     """Entity value, mojibake repaired where its telltale marks are, without blanks and listed punctuation at its edges."""
-    return F.regexp_replace(repair_mojibake(text), rf"(?U)^[{EDGE}\s]+|[{EDGE}\s]+$", "")
+    cleaned = F.regexp_replace(repair_mojibake(text), rf"(?U)^[{EDGE}\s]+|[{EDGE}\s]+$", "")
+    return F.when(text.rlike(r"\A[A-Za-z0-9](?:[ -~]*[A-Za-z0-9])?\z"), text).otherwise(cleaned)  # first those that have nothing to take off or repair
 
 
 def sanitized(text: str) -> str:

@@ -66,7 +66,8 @@ def best_label(logits: Column, labels: list[str]) -> Column:
 
 def bio_type(label: Column) -> Column:
     """The entity type of a B- or I- label; null for O and unknown ones."""
-    return named(F.regexp_extract(label, r"^[BI]-(.*)$", 1), BIO_TYPES)
+    known = [f"{at}-{name}" for name in BIO_TYPES for at in "BI"]
+    return F.when(label.isin(known), named(F.substring(label, 3, 2**31 - 1), BIO_TYPES))
 
 
 def passes(label: Column, score: Column, threshold: float) -> Column:

@@ -141,7 +141,7 @@ def folded(entities: DataFrame, key: str, order: list[str], derived: dict[str, C
     rest = [c for c in entities.columns if c != key]
     rows = entities.withColumns(derived)
     names = list(dict.fromkeys([*order, *rest, *derived]))
-    arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("e"))
+    arrays = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("e"))
     kind = arrays.schema["e"].dataType.simpleString()
 
     def step(kept: Column, e: Column) -> Column:
@@ -180,19 +180,20 @@ def merge_sources(entities: DataFrame, key: str) -> DataFrame:
     return folded(entities, key, ["start", "end", "__r", "value"], derived, related, better)
 
 
-def bio_spans(pieces: DataFrame, key: str, order: list[str]) -> DataFrame:
+def bio_spans(pieces: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """Entities of B-/I- tagged pieces: (key, entity_type, start, end, confidence, n); other tags are dropped before.
 
     A B- opens an entity unless it goes on with the one before: of the same type, and starting at or before its end. ``decode`` is
     the full decoder, that sees pieces and text.
     """
     tagged = pieces.where(F.col("label").rlike("^[BI]-")).withColumn("entity_type", F.substring("label", 3, 20))
-    by = W.partitionBy(key).orderBy(*order)
+    keys = [key] if isinstance(key, str) else key
+    by = W.partitionBy(*keys).orderBy(*order)
     other = (F.lag("entity_type").over(by) != F.col("entity_type")) | F.lag("entity_type").over(by).isNull()
     touches = F.col("start") <= F.lag("end").over(by)
     opens = other | (F.col("label").startswith("B-") & ~touches)
     grouped = tagged.withColumn("opens", opens.cast("int")).withColumn("g", F.sum("opens").over(by))
-    return grouped.groupBy(key, "g").agg(F.first("entity_type").alias("entity_type"), F.min("start").alias("start"), F.max("end").alias("end"), F.round(F.avg("score"), 6).alias("confidence"), F.count(F.lit(1)).alias("n")).drop("g")
+    return grouped.groupBy(*keys, "g").agg(F.first("entity_type").alias("entity_type"), F.min("start").alias("start"), F.max("end").alias("end"), F.round(F.avg("score"), 6).alias("confidence"), F.count(F.lit(1)).alias("n")).drop("g")
 
 
 def triples(docs: DataFrame, key: str, text: str, placed: bool = False) -> DataFrame:
@@ -211,7 +212,7 @@ def distinct_triples(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def letters(value: Column) -> Column:
     """How many letters and digits a value has."""
-    return F.regexp_count(value, F.lit(r"[\p{L}\p{N}]"))
+    return F.length(F.regexp_replace(value, r"[^\p{L}\p{N}]+", ""))
 
 
 def dedup_document(entities: DataFrame, key: str, near: int = 8) -> DataFrame:

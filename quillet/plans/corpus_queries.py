@@ -400,9 +400,10 @@ _TAGS = "CASE n WHEN 9 THEN 'B-PER' WHEN 10 THEN 'I-PER' WHEN 11 THEN 'B-LOC' WH
 
 
 def _tokens(spark, sf):
-    d = read(spark, sf, "documents").where("text is not null")
-    found = d.select("doc_id", F.posexplode(win.token_spans(F.col("text"))).alias("i", "m"))
-    return found.select("doc_id", F.col("i").cast("long").alias("i"), F.col("m.token").alias("v"), "m.start", "m.end")
+    d = read(spark, sf, "documents").where("text is not null").select("doc_id", win.token_spans(F.col("text")).alias("found"))
+    # an outer generator, as for an inner one the optimiser asks first whether there is anything, and the function runs twice
+    found = d.select("doc_id", F.size("found").alias("total"), "found").select("doc_id", "total", F.posexplode_outer("found").alias("i", "m")).where("i is not null")
+    return found.select("doc_id", "total", F.col("i").cast("long").alias("i"), F.col("m.token").alias("v"), "m.start", "m.end")
 
 
 _WINDOWED = """w AS (SELECT tok.doc_id, i, v, n, start, start + n AS "end", 224 * k AS win FROM tok JOIN (SELECT doc_id, max(i) + 1 AS total FROM tok GROUP BY doc_id) z ON z.doc_id = tok.doc_id,
@@ -411,7 +412,7 @@ _WINDOWED = """w AS (SELECT tok.doc_id, i, v, n, start, start + n AS "end", 224
 
 @query(f"WITH {_TOKENS}, {_WINDOWED} SELECT doc_id, win AS \"window\", count(*) AS tokens, min(i) AS first_token, min(start) AS start, max(\"end\") AS \"end\" FROM w GROUP BY doc_id, win")
 def ner_window_tokens(spark, sf):
-    rows = win.token_windows(_tokens(spark, sf), "doc_id")
+    rows = win.token_windows(_tokens(spark, sf), "doc_id", count="total")
     return rows.groupBy("doc_id", "window").agg(F.count(F.lit(1)).alias("tokens"), F.min("i").alias("first_token"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
@@ -430,7 +431,7 @@ def ner_window_tokens(spark, sf):
 ))
 def ner_windowed_predictions(spark, sf):
     # a model's answers as a table: tags by the length of a token
-    rows = win.token_windows(_tokens(spark, sf), "doc_id")
+    rows = win.token_windows(_tokens(spark, sf), "doc_id", count="total")
     tag = F.get(F.array(*[F.lit(x) for x in ("B-PER", "I-PER", "B-LOC", "I-LOC", "B-MISC")]), (F.length("v") - 9).cast("int"))
     said = rows.select("doc_id", "window", "i", "start", "end", F.coalesce(tag, F.lit("O")).alias("label"), ((F.col("start") % 7 + 3) / 10.0).alias("score"))
     return win.windowed_entities(said, read(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "item_id")
