@@ -49,10 +49,10 @@ def entity_candidates(store: Store, texts: DataFrame, model: DataFrame | None =
     """
     key = _target(texts)
     full = texts.where(has_text(F.col("text")))
-    found = extract(full, key, "text").drop("place")
-    found = found if model is None else found.unionByName(model.join(full.select(key), key, "left_semi").select(*found.columns))
-    chosen = engine(found, key, kind)
-    placed = chosen if key == "item_id" else chosen.join(texts.select("item_id", "asset_id"), "asset_id")
+    item = [] if key == "item_id" else ["item_id"]  # goes along, so that what is found needs no join
+    found = extract(full, key, "text", *item).drop("place")
+    found = found if model is None else found.unionByName(model.drop(*item).join(full.select(key, *item), key).select(*found.columns))
+    placed = engine(found, key, kind)
     kept = store["entities"].where(manual(F.col("source"))).select("item_id", "entity_type", "value", F.col("start_offset").alias("start"), F.col("end_offset").alias("end"))
     return unprotected(placed, kept)
 

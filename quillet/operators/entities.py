@@ -74,9 +74,10 @@ def rule_matches(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
 
 
-def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, place, entity_type, value, start, end, confidence, source) by all rules, in order of start; offsets are those of the whole match."""
-    rows = docs.select(key, F.posexplode(rule_matches(F.col(text))).alias("place", "e")).select(key, "place", "e.*")
+def extract(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+    """(key, place, entity_type, value, start, end, confidence, source, carried columns) by all rules, in order of start; offsets are those of the whole match."""
+    # an outer generator, as for an inner one the optimiser asks first whether there is anything, and the function runs twice
+    rows = docs.select(key, *carried, F.posexplode_outer(rule_matches(F.col(text))).alias("place", "e")).where("place is not null").select(key, "place", "e.*", *carried)
     return rows.withColumns({"confidence": F.lit(1.0), "source": F.lit("rule_based")})
 
 
@@ -84,30 +85,20 @@ def family(entity_type: Column) -> Column:
     return F.when(entity_type == "institution", "organization").otherwise(entity_type)
 
 
-#: Characters of a cell that spans are dealt into.
-CELL = 64
-
-
-def _celled(spans: DataFrame) -> DataFrame:
-    """A row for each cell that a span touches; spans without offsets touch none."""
-    cell = lambda x: F.floor(x / CELL)
-    last = F.greatest("start", F.col("end") - 1)
-    return spans.withColumn("cell", F.explode(F.sequence(cell(F.least("start", last)), cell(last))))
-
-
 def unprotected(candidates: DataFrame, protected: DataFrame) -> DataFrame:
     """Candidates above the confidence gate that no manual entity of the item and family equals or overlaps.
 
-    Equal values meet by a hash join. Spans are dealt into cells of ``CELL`` characters and meet where they share one, so
-    an item's entities meet their neighbours only, however many it has.
+    Both are shuffled once, together, by item. Of those that start before a candidate's end, the furthest end tells whether any overlaps it, so a
+    running maximum in the order of ends and starts finds them all, however many an item has; equal values meet in a window of their own.
     """
-    c = candidates.where("confidence > 0.89").withColumns({"__f": family(F.col("entity_type")), "__v": F.lower("value")})
-    p = protected.select("item_id", family(F.col("entity_type")).alias("__f"), F.lower("value").alias("__v"), "start", "end")
-    spot = ["item_id", "__f", "start", "end"]
-    left = _celled(c.select(*spot).distinct())
-    right = _celled(p.select(*spot).distinct()).select("item_id", "__f", "cell", F.col("start").alias("ps"), F.col("end").alias("pe"))
-    met = left.join(right, ["item_id", "__f", "cell"]).where("start < pe and ps < end").select(*spot).distinct()
-    return c.join(p.select("item_id", "__f", "__v").distinct(), ["item_id", "__f", "__v"], "left_anti").join(met, spot, "left_anti").select(*candidates.columns)
+    p = protected.where("item_id is not null and entity_type is not null").select("item_id", "entity_type", "value", F.col("start").alias("__ps"), F.col("end").alias("__pe"), F.lit(1).alias("__p"))
+    rows = candidates.where("confidence > 0.89").unionByName(p, allowMissingColumns=True).repartition("item_id")
+    rows = rows.withColumns({"__f": family(F.col("entity_type")), "__v": F.lower("value"), "__at": F.when(F.col("__p").isNull(), F.col("end")).otherwise(F.col("__ps"))})
+    spans = W.partitionBy("item_id", "__f").orderBy("__at", F.asc_nulls_first("__p")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    reach = F.max(F.when(F.col("__at").isNotNull(), F.col("__pe"))).over(spans)
+    equal = F.max(F.when(F.col("__v").isNotNull(), F.col("__p"))).over(W.partitionBy("item_id", "__f", "__v"))
+    met = rows.withColumn("__reach", reach).where(F.coalesce(F.col("__reach") <= F.col("start"), F.lit(True)))  # protected rows have no start
+    return met.withColumn("__equal", equal).where("__p is null and __equal is null").select(*candidates.columns)
 
 
 # Ranks of sources and types.
