@@ -4,8 +4,8 @@
    blocks of at most ``ROWS``, a block is a small ball: its centre and radius bound what any of its vectors can be to any of another block.
 2. A block compared with itself gives each of its rows a k-th similarity to begin with; the least of these is what another block must be able to reach.
    Blocks (not vectors) are joined where the balls' bound reaches it.
-3. A partition's blocks are a group of a bounded number of rows. Two groups of which any blocks are to be compared meet in one task, a block being sent once a group that
-   needs it; there the products are taken block by block under the same bound, row by row above the row's k-th, and at most k rows a vector leave the task.
+3. Blocks meet in a product of the written blocks' partitions, so no vector is shuffled: a task reads one partition of either side, holds the second and streams the
+   first. Pairs whose balls can't reach each other are left out before and, as the k-th similarities rise, while they are compared; a vector gives at most k rows a task.
 4. A window keeps the best k of all, after each task has kept its own.
 
 Defined results: null or empty vectors, those with null or non-finite components and those of length zero take no part; only vectors
@@ -20,13 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillet.sources.shared import staged
 
-#: Pivots at most; rows of a block; blocks of a group on average; blocks of one side that are joined with all of the other in a task.
+#: Pivots at most; rows of a block; blocks of a partition on average; blocks of one side that are joined with all of the other in a task of ``cells``.
 PIVOTS, ROWS, GROUP, CHUNK = 256, 512, 16, 256
 _UNITS = "vec_id long, dim int, unit binary"
 _BLOCKS = "block long, part int, dim int, ids binary, units binary, kth binary, centre array<double>, radius double, least double"
@@ -65,14 +65,6 @@ def _placed(pivots: dict[int, np.ndarray]):
     return run
 
 
-def _best(like: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, similarity) of each row's k best finite entries, ties by id."""
-    order = np.lexsort((np.broadcast_to(ids, like.shape), -like), axis=1)[:, :k]
-    score = np.take_along_axis(like, order, 1)
-    row, at = np.nonzero(np.isfinite(score))
-    return row, order[row, at], score[row, at]
-
-
 def _compared(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray) -> np.ndarray:
     """Rounded similarities; of rows with one id, none."""
     like = np.round(q @ c.T, 6)
@@ -115,36 +107,47 @@ def _reach(a: np.ndarray, ra: float, b: np.ndarray, rb: float) -> float:
     return 1 - apart * apart / 2 + 2e-6
 
 
+def _kept(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """(row, id, similarity) of each row's k best, ties by id, in order of rows."""
+    order = np.lexsort((found[1], -found[2], found[0]))
+    found = [x[order] for x in found]
+    place = np.arange(len(order)) - np.searchsorted(found[0], found[0])
+    return [x[place < k] for x in found]
+
+
 def _met(k: int):
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        for r in rows:
-            r["ids"], r["x"], r["kth"], r["centre"] = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["units"], "<f8").reshape(-1, r["dim"]), np.frombuffer(r["kth"], "<f8"), np.array(r["centre"])
-        out = [[], [], [], []]
-        for q in (r for r in rows if r["asks"]):
-            found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-            kth = q["kth"].copy()
-            near = sorted(((_reach(q["centre"], q["radius"], c["centre"], c["radius"]), c) for c in rows if not c["asks"] and c["dim"] == q["dim"]), key=lambda x: (-x[0], x[1]["block"]))
-            for reach, c in near:
-                if reach < kth.min():
-                    break
-                like = _compared(q["x"], q["ids"], c["x"], c["ids"])
-                like[like < kth[:, None]] = -np.inf
-                row, at, score = _best(like, c["ids"], k)
-                found = [np.concatenate(x) for x in zip(found, (row, c["ids"][at], score), strict=True)]
-                order = np.lexsort((found[1], -found[2], found[0]))
-                found = [x[order] for x in found]
-                place = np.arange(len(order)) - np.searchsorted(found[0], found[0])
-                found = [x[place < k] for x in found]
+    """The best k of each asking block's rows among the blocks that it meets one after another."""
+    numbers = lambda column, i, kind: np.frombuffer(column[i].as_buffer(), kind)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, x, kth, ball = None, None, None, None, None
+        found: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            columns = ((block << 10) + found[0], ids[found[0]], found[1], found[2])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row", "vec_id", "similar_id", "similarity"])
+
+        for b in batches:
+            c = {name: b.column(name) for name in b.schema.names}
+            for i in range(len(b)):
+                dim = c["dim"][i].as_py()
+                if c["q_block"][i].as_py() != block:
+                    if block is not None:
+                        yield out()
+                    block, ids, x, kth = c["q_block"][i].as_py(), numbers(c["q_ids"], i, "<i8").copy(), numbers(c["q_units"], i, "<f8").reshape(-1, dim).copy(), numbers(c["q_kth"], i, "<f8").copy()
+                    ball = c["q_centre"][i].values.to_numpy(), c["q_radius"][i].as_py()
+                    found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+                if _reach(*ball, c["centre"][i].values.to_numpy(), c["radius"][i].as_py()) < kth.min():
+                    continue
+                other = numbers(c["ids"], i, "<i8")
+                like = _compared(x, ids, numbers(c["units"], i, "<f8").reshape(-1, dim), other)
+                row, at = np.nonzero((like >= kth[:, None]) & (like > -np.inf))
+                found = _kept([np.concatenate(f) for f in zip(found, (row, other[at], like[row, at]), strict=True)], k)
                 full = np.flatnonzero(np.bincount(found[0], minlength=len(kth)) == k)
-                last = np.searchsorted(found[0], full, side="right") - 1
-                kth[full] = np.maximum(kth[full], found[2][last])
-            out[0].append((q["block"] << 10) + found[0])
-            out[1].append(q["ids"][found[0]])
-            out[2].append(found[1])
-            out[3].append(found[2])
-        columns = [np.concatenate(x) if x else np.empty(0, np.int64 if i < 3 else float) for i, x in enumerate(out)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["row", "vec_id", "similar_id", "similarity"])
+                kth[full] = np.maximum(kth[full], found[2][np.searchsorted(found[0], full, side="right") - 1])
+        if block is not None:
+            yield out()
 
     return run
 
@@ -161,15 +164,20 @@ def blocks_of(vectors: DataFrame, k: int, vector: str = "embedding") -> DataFram
     return staged(dealt.mapInArrow(_cut(k), _BLOCKS), "blocks")
 
 
+def _reaches() -> Column:
+    """Whether a block (centre, radius, least) may find in another's ball (c, r) what it hasn't in itself."""
+    gap = F.sqrt(F.aggregate(F.zip_with("centre", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    apart = F.greatest(F.lit(0.0), gap - F.col("radius") - F.col("r"))
+    return 1 - apart * apart / 2 + 2e-6 >= F.col("least")
+
+
 def cells(blocks: DataFrame) -> DataFrame:
-    """(part, with, block, asks): the blocks that meet in a task, of either side, one row each; only blocks' centres are joined."""
+    """(part, with, block, asks): which blocks meet, by partitions, to see how much is left out; one row for a block of either side, and only centres are joined."""
     many = max(1, -(-blocks.count() // CHUNK))
     ball = blocks.select("block", "part", "dim", "centre", "radius", "least")
     left = ball.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
     right = ball.select(F.col("block").alias("b"), F.col("part").alias("with"), "dim", F.col("centre").alias("c"), F.col("radius").alias("r")).withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(many)).cast("int"))
-    gap = F.sqrt(F.aggregate(F.zip_with("centre", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    apart = F.greatest(F.lit(0.0), gap - F.col("radius") - F.col("r"))
-    pairs = staged(left.join(right, ["dim", "chunk"]).where(1 - apart * apart / 2 + 2e-6 >= F.col("least")).select("part", "with", "block", "b"), "pairs")
+    pairs = staged(left.join(right, ["dim", "chunk"]).where(_reaches()).select("part", "with", "block", "b"), "pairs")
     asking = pairs.select("part", "with", "block").distinct().withColumn("asks", F.lit(True))
     return asking.unionByName(pairs.select("part", "with", F.col("b").alias("block")).distinct().withColumn("asks", F.lit(False)))
 
@@ -177,7 +185,11 @@ def cells(blocks: DataFrame) -> DataFrame:
 def similar_all(vectors: DataFrame, k: int = 5, vector: str = "embedding") -> DataFrame:
     """(vec_id, rank, similar_id, similarity) for every vector."""
     blocks = blocks_of(vectors, k, vector)
-    sent = cells(blocks).join(blocks.drop("part"), "block")
-    heaps = sent.groupBy("part", "with").applyInArrow(_met(k), "row long, vec_id long, similar_id long, similarity double")
+    asking = blocks.select(F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("units").alias("q_units"), F.col("kth").alias("q_kth"), "centre", "radius", "least")
+    other = blocks.select("dim", "ids", "units", F.col("centre").alias("c"), F.col("radius").alias("r"))
+    # no equality of columns, which would be a join by shuffle; the hint asks for the product of partitions at any size
+    pairs = asking.join(other.hint("shuffle_replicate_nl"), F.when(F.col("q_dim") - F.col("dim") == 0, _reaches()))
+    pairs = pairs.select("q_block", "q_ids", "q_units", "q_kth", F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"), "dim", "ids", "units", F.col("c").alias("centre"), F.col("r").alias("radius"))
+    heaps = pairs.mapInArrow(_met(k), "row long, vec_id long, similar_id long, similarity double")
     place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("similarity"), "similar_id"))
     return heaps.withColumn("rank", place).where(F.col("rank") <= k).select("vec_id", "rank", "similar_id", "similarity")
